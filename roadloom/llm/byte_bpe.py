@@ -171,7 +171,7 @@ def codec(path: str, pattern: str) -> RankCodec:
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with a column `ids` array<long> of each whole text's token ids.
+    """`docs` with a column `ids` array<int> of each whole text's token ids.
 
     A null text gives the empty array, as the empty text does. Every row gives
     one row; repeated rows are encoded alike. A column of `docs` that is
@@ -185,14 +185,14 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            found = [own.encode(x).astype(np.int64) for x in b.column(len(names) - 1).to_pylist()]
+            found = [own.encode(x).astype(np.int32) for x in b.column(len(names) - 1).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
+            flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], names=names)
 
     from pyspark.sql import types as T
 
-    returned = T.StructType([*schema.fields[:-1], T.StructField(ids, T.ArrayType(T.LongType()))])
+    returned = T.StructType([*schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType()))])
     return out.mapInArrow(run, returned)
 
 
