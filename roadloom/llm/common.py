@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,13 +38,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lower_ascii(text: str) -> str:
-    """A-Z lower-cased, nothing else."""
-    return text.translate(_LOWER)
+def balanced_labels(spark: SparkSession, n: int) -> list[int]:
+    """n distinct integers that hash partitioning on an int column deals out evenly over the session's shuffle partitions."""
+    parts = partitions(spark)
+    rounds = -(-n // parts)
+    rows = spark.range(0, 40 * (rounds + 10) * parts, 1, 1).selectExpr("CAST(id AS INT) AS id", f"pmod(hash(CAST(id AS INT)), {parts}) AS p")
+    of: dict[int, list[int]] = {}
+    for r in rows.groupBy("p").agg(F.slice(F.array_sort(F.collect_list("id")), 1, rounds).alias("ids")).collect():
+        of[r["p"]] = r["ids"]
+    return [of[i % parts][i // parts] for i in range(n)]
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
 _OPEN, _CLOSED = re.compile(r"\s \s"), re.compile(r"(?<=\S)(?= \S)")
 
 

@@ -11,9 +11,10 @@ from roadloom.llm.op4_query import op4_adaptive_quality
 from roadloom.llm.op5_query import op5_chat_windows
 from roadloom.llm.op6_query import op6_bloom_urls
 from roadloom.llm.op7_query import op7_byte_bpe
+from roadloom.llm.op8_query import op8_katz_backoff
 from roadloom.llm.op9_query import op9_jaccard_join
 
-QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_bit_planes, op3_wu_manber, op4_adaptive_quality, op5_chat_windows, op6_bloom_urls, op7_byte_bpe, op9_jaccard_join, op10_compact_windows)}
+QUERIES = {f.__name__: f for f in (op1_hash_tree, op2_bit_planes, op3_wu_manber, op4_adaptive_quality, op5_chat_windows, op6_bloom_urls, op7_byte_bpe, op8_katz_backoff, op9_jaccard_join, op10_compact_windows)}
 
 ORACLES: dict[str, str] = {
     "op3_wu_manber": op3_query.ORACLE,
