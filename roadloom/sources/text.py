@@ -34,6 +34,8 @@ def encoding_of(spark: SparkSession, path: str, size: int = 1 << 16) -> str:
 
 def csv_table(spark: SparkSession, path: str, schema: StructType | str, encoding: str = "utf-8") -> DataFrame:
     """A CSV file with a header; columns that a query leaves out are not parsed."""
+    if not encoding.startswith("utf-8"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark 4 reads Unicode encodings and Latin-1 alone
     return spark.read.option("header", True).option("encoding", "utf-8" if encoding == "utf-8-sig" else encoding).schema(schema).csv(path)
 
 
