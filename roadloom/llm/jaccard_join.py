@@ -7,10 +7,15 @@ breaks ties by a hash of its own; candidates must share such a prefix token
 under every order, before their sets are compared exactly.
 
 Groups of near copies do not become all pairs. Equal sets are one class from
-the start. Each class is first compared with the one class that it shares most
-prefix tokens with, and what that links is a component; then all pairs of
+the start. In a few rounds each class is compared with the classes that it
+shares most prefix tokens with, and what that links is a component; then all
 candidates that lie in different components are compared. A pair left out lies
 in one component already, so no component is missed.
+
+Every class carries a bitmap of 2048 bits in which each of its tokens flips
+one. Two sets' intersection is at most half of what their sizes add up to
+beyond the bits in which they differ, so most pairs below the threshold fall
+without their sets being moved.
 """
 
 from __future__ import annotations
@@ -24,12 +29,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import partitions, written
+from roadloom.llm.common import balanced_labels, partitions, written
 from roadloom.llm.components import components
 from roadloom.llm.word_hash import mix, shingle_sets
 
 _U = np.uint64
 ORDERS = 2
+ROUNDS, PARTNERS = 3, 3
+BITS = 2048
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -42,16 +49,24 @@ def signature(x: np.ndarray) -> tuple[int, int]:
         return int(np.sum(mix(x, 51), dtype=_U)), int(np.sum(mix(x, 52), dtype=_U))
 
 
+def bitmap(x: np.ndarray) -> bytes:
+    """BITS bits of which each element of the set flips one."""
+    return np.packbits(np.bincount((mix(x, 53) >> _U(53)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def set_signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 of each row's whole text."""
+    """doc_id, n_shingles, s1, s2 of each row's whole text, and its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [(len(x), *signature(x)) for x in shingle_sets(b.column(1).to_pylist(), width)]
+            sets, bits = [], []
+            for x in shingle_sets(b.column(1).to_pylist(), width):
+                sets.append((len(x), *signature(x)))
+                bits.append(bitmap(x))
             cols = np.array(sets, _U).reshape(len(sets), 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[_signed(cols[:, i]) for i in range(3)]], names=["doc_id", "n_shingles", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[_signed(cols[:, i]) for i in range(3)], pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bits binary")
 
 
 def count_sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
@@ -104,6 +119,7 @@ def posting_lists(docs: DataFrame, width: int, percent: int, levels: np.ndarray,
     entries of copies fall together.
     """
     bits = int(len(levels)).bit_length() - 1
+    names = balanced_labels(docs.sparkSession, ORDERS * buckets)
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # its size is fixed by `bits`
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +154,9 @@ def posting_lists(docs: DataFrame, width: int, percent: int, levels: np.ndarray,
                     part = order[cuts[i] : cuts[i + 1]]
                     used, local = np.unique(of[part], return_inverse=True)
                     blob = b"".join((token[part].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), node_of[used].tobytes(), size_of[used].tobytes()))
-                    out.append((k * buckets + i, len(part), len(used), press.compress(blob)))
+                    out.append((names[k * buckets + i], k, len(part), len(used), press.compress(blob)))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["bucket", "n", "used", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["bucket", "order", "n", "used", "packed"])
 
     def lists(key: tuple, table: pa.Table) -> pa.Table:
         un, tokens, nodes, sizes = zstandard.ZstdDecompressor(), [], [], []
@@ -162,11 +178,11 @@ def posting_lists(docs: DataFrame, width: int, percent: int, levels: np.ndarray,
         keep = np.zeros(len(token), bool)
         keep[1:] |= same
         keep[:-1] |= same
-        k = key[0].as_py() // buckets
+        k = table.column("order")[0].as_py()
         m = int(keep.sum())
         return pa.table({"order": pa.array(np.full(m, k, np.int32)), "token": _signed(token[keep]), "node": _signed(node[keep]), "n": pa.array(size[keep].astype(np.int64))})
 
-    packed = docs.select("text").mapInArrow(pack, "bucket int, n long, used long, packed binary")
+    packed = docs.select("text").mapInArrow(pack, "bucket int, order int, n long, used long, packed binary")
     return packed.groupBy("bucket").applyInArrow(lists, "order int, token long, node long, n long")
 
 
@@ -174,65 +190,129 @@ def _alike(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def first_partners(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each class the one class, among heads and neighbours in its lists by size, that it meets most often."""
-
-    def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        token, node, n = (table.column(c).to_numpy() for c in ("token", "node", "n"))
-        order = np.lexsort((node, n, token))
-        token, node, n = token[order], node[order], n[order]
-        begins = np.flatnonzero(np.diff(token, prepend=~token[:1]))
-        head = np.repeat(begins, np.diff(np.append(begins, len(token))))
-        i = np.arange(len(token))
-        a = np.concatenate([head[i != head], i[i != head] - 1])
-        b = np.concatenate([i[i != head], i[i != head]])
-        ok = _alike(n[a], n[b], percent) & (node[a] != node[b])
-        a, b = node[a[ok]], node[b[ok]]
-        both = np.stack([a, b], 1)
-        found, times = np.unique(both, axis=0, return_counts=True) if len(both) else (both, np.zeros(0, np.int64))
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "times": pa.array(times.astype(np.int64))})
-
-    slots = 4 * partitions(lists.sparkSession)
-    dealt = lists.where("order = 0").withColumn("slot", F.pmod(F.xxhash64("token"), F.lit(slots)).cast("int"))
-    met = dealt.groupBy("slot").applyInArrow(pairs, "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
-    return met.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-
-
-def candidates_between(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs of classes in different components that share a prefix token under every order and fit in size."""
+def mixed_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """order, token, node, n, label of the lists that hold more than one component; without labels every class is one."""
+    if labels is None:
+        return lists.withColumn("label", F.col("node"))
     labelled = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("order", "token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("order", "token")
-    left = written(labelled.join(mixed, ["order", "token"]).select("order", "token", "node", "n", "label"), "mixed-lists")
+    return written(labelled.join(mixed, ["order", "token"]).select("order", "token", "node", "n", "label"), "mixed-lists")
+
+
+def _slotted(lists: DataFrame) -> DataFrame:
+    labels = balanced_labels(lists.sparkSession, 2 * partitions(lists.sparkSession))
+    at = F.pmod(F.xxhash64("order", "token"), F.lit(len(labels))).cast("int") + 1
+    return lists.withColumn("slot", F.element_at(F.array(*[F.lit(x) for x in labels]), at))
+
+
+def best_partners(mixed: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
+    """(a, b), a < b: for each class the PARTNERS classes of other components that it meets most often, among heads and neighbours in lists by size, and has not been compared with."""
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        token, node, n, label = (table.column(c).to_numpy() for c in ("token", "node", "n", "label"))
-        k = table.column("order").to_numpy()
-        order = np.lexsort((label, token, k))
+        token, node, n, label, k = (table.column(c).to_numpy() for c in ("token", "node", "n", "label", "order"))
+        order = np.lexsort((node, n, token, k))
         token, node, n, label, k = token[order], node[order], n[order], label[order], k[order]
-        begins = np.flatnonzero((np.diff(token, prepend=~token[:1]) != 0) | (np.diff(k, prepend=-1) != 0))
-        out = []
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (k[1:] != k[:-1])
+        i = np.arange(len(token))
+        head = np.maximum.accumulate(np.where(new, i, 0))
+        a = np.concatenate([head[~new], i[~new] - 1])
+        b = np.concatenate([i[~new], i[~new]])
+        ok = _alike(n[a], n[b], percent) & (label[a] != label[b])
+        found, times = _counted(node[b[ok]], node[a[ok]])
+        return pa.table({"me": pa.array(found[0]), "other": pa.array(found[1]), "times": pa.array(times)})
+
+    met = _slotted(mixed).groupBy("slot").applyInArrow(pairs, "me long, other long, times long").groupBy("me", "other").agg(F.sum("times").alias("times"))
+    met = met.select("*", F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b"))
+    if tried is not None:
+        met = met.join(tried, ["a", "b"], "left_anti")
+    # a class meets two others in each of its lists at most, so what is gathered is bounded by its prefixes
+    best = met.groupBy("me").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "a", "b")), asc=False), 1, PARTNERS).alias("m"))
+    return best.select(F.explode("m").alias("m")).select("m.a", "m.b").distinct()
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(first)
+    return (a[at], b[at]), np.diff(np.append(at, len(a))).astype(np.int64)
+
+
+def candidates_between(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: all pairs of classes in different components that share a prefix token under every order and fit in size.
+
+    A list tells each of its classes those of components of smaller labels as
+    one packed row, so of a pair the same one is told under every order; its
+    rows then meet, and a pair is made once however many tokens it shares.
+    """
+
+    def tell(key: tuple, table: pa.Table) -> pa.Table:
+        token, node, n, label, k = (table.column(c).to_numpy() for c in ("token", "node", "n", "label", "order"))
+        order = np.lexsort((n, ~label, token, k))  # by falling label: those of large components are small and come last
+        token, node, n, label, k = token[order], node[order], n[order], label[order], k[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (k[1:] != k[:-1])
+        begins = np.flatnonzero(new)
+        rows = []
         for lo, hi in zip(begins.tolist(), np.append(begins[1:], len(token)).tolist(), strict=True):
-            inner = np.flatnonzero(np.diff(label[lo:hi], prepend=label[lo] - 1)).tolist() + [hi - lo]
-            for s, e in zip(inner[:-1], inner[1:], strict=True):  # each component of the list against those after it
-                if e == hi - lo:
-                    break
-                x, y = np.meshgrid(np.arange(lo + s, lo + e), np.arange(lo + e, hi), indexing="ij")
-                x, y = x.ravel(), y.ravel()
-                ok = _alike(n[x], n[y], percent)
-                u, v = node[x[ok]], node[y[ok]]
-                out.append(np.stack([np.minimum(u, v), np.maximum(u, v), k[x[ok]].astype(np.int64)], 1))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1]), "order": pa.array(found[:, 2].astype(np.int32))})
-
-    slots = 4 * partitions(lists.sparkSession)
-    dealt = left.withColumn("slot", F.pmod(F.xxhash64("order", "token"), F.lit(slots)).cast("int"))
-    met = dealt.groupBy("slot").applyInArrow(pairs, "a long, b long, order int")
-    return met.groupBy("a", "b").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("order"))).alias("orders")).where(F.col("orders") == (1 << ORDERS) - 1).select("a", "b")
+            ends = np.append(np.flatnonzero(label[lo + 1 : hi] != label[lo : hi - 1]) + lo + 1, hi).tolist()
+            start = lo
+            for e in ends[:-1]:
+                for i in range(start, e):
+                    fit = _alike(n[e:hi], n[i], percent)
+                    if fit.any():
+                        rows.append((int(node[i]), int(k[lo]), node[e:hi][fit].tobytes()))
+                start = e
+        a, o, b = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"me": pa.array(a, pa.int64()), "order": pa.array(o, pa.int32()), "others": pa.array(b, pa.binary())})
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        me, orders, others = table.column("me").to_numpy(), table.column("order").to_numpy(), table.column("others").to_pylist()
+        out_a, out_b = [], []
+        by = np.argsort(me, kind="stable")
+        cuts = np.flatnonzero(np.diff(me[by], prepend=~me[by][:1]))
+        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(by)).tolist(), strict=True):
+            told = [[others[i] for i in by[lo:hi] if orders[i] == k] for k in range(ORDERS)]
+            if all(told):
+                sets = [np.unique(np.frombuffer(b"".join(t), np.int64)) for t in told]
+                both = sets[0]
+                for x in sets[1:]:
+                    both = np.intersect1d(both, x, assume_unique=True)
+                out_a.append(np.full(len(both), me[by[lo]]))
+                out_b.append(both)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    asked = _slotted(mixed).groupBy("slot").applyInArrow(tell, "me long, order int, others binary")
+    labels = balanced_labels(mixed.sparkSession, 2 * partitions(mixed.sparkSession))
+    at = F.pmod(F.xxhash64("me"), F.lit(len(labels))).cast("int") + 1
+    dealt = asked.withColumn("slot", F.element_at(F.array(*[F.lit(x) for x in labels]), at))
+    return dealt.groupBy("slot").applyInArrow(meet, "a long, b long").distinct()
+
+
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose bitmaps allow an intersection of `percent` hundredths of the union; it never drops a similar pair."""
+    of = lambda c: classes.select(F.col("s1").alias(c), F.col("n_shingles").alias(f"_n{c}"), F.col("bits").alias(f"_{c}"))
+
+    def allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n = t.column(2).to_numpy() + t.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint64).reshape(len(n), -1) for i in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            most = (n - apart) // 2
+            mask = pa.array(100 * most >= percent * (n - most))
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(mask), t.column(1).filter(mask)], names=["a", "b"])
+
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", "_na", "_nb", "_a", "_b").mapInArrow(allow, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs of classes whose sets have an intersection of `percent` or more of their union."""
-    pairs = written(pairs, "pairs")
+    """Those of the pairs of classes whose sets have an intersection of `percent` hundredths of their union or more."""
+    pairs = written(possible(pairs, classes, percent), "pairs")
     nodes = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
     named = written(nodes.join(classes.select("s1", F.col("rep").alias("doc_id")), "s1"), "named")
 
@@ -277,20 +357,29 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     signed = written(set_signatures(docs, width), "signatures")
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = written(named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = written(named.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits")), "classes")
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
     plain = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("doc_id")).alias("component_id"))
     if not total:
         return plain
     source = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     bits = min(26, max(12, math.ceil(math.log2(total / 4))))
-    buckets = max(2 * partitions(spark), total // 1_000_000)
+    buckets = max(partitions(spark), total // 4_000_000)
     lists = written(posting_lists(source, width, percent, count_sketch(source, width, bits), buckets), "lists")
-    links = verified(first_partners(lists, percent), source, classes, width, percent)
-    labels = components(links)
-    more = verified(candidates_between(lists, labels, percent), source, classes, width, percent)
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    mixed, tried, links, labels = lists.withColumn("label", F.col("node")), None, None, None
+    for k in range(ROUNDS + 1):
+        # in the last round all that is left is compared
+        asked = best_partners(mixed, percent, tried) if k < ROUNDS else candidates_between(mixed, percent)
+        asked = written(asked, "asked")
+        found = verified(asked, source, classes, width, percent)
+        links = found if links is None else links.unionByName(found)
+        if k == 0 or found.limit(1).count():
+            labels = components(links)
+        if k < ROUNDS:
+            tried = asked if tried is None else tried.unionByName(asked)
+            mixed = mixed_lists(mixed.drop("label"), labels)
+            if not mixed.limit(1).count():
+                break
     grouped = classes.join(labels, classes.s1 == labels.node, "left").withColumn("label", F.coalesce("label", "s1"))
     least = written(grouped.groupBy("label").agg(F.min("rep").alias("component_id")), "least")
     of_class = written(grouped.join(least, "label").select("s1", "s2", F.col("n_shingles").alias("_n"), "component_id"), "of-class")

@@ -58,6 +58,19 @@ def test_groups_are_those_of_all_pairs(spark):
 
 def test_components_of_paths_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200), (300, 301), (301, 300), (300, 301)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 300: 300, 301: 300}
+    for most in (7, 1000):
+        got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), task_links=most).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_no_pair_between_components_is_lost(spark):
+    """All pairs under the filters, whichever side asks, against a plain join of the lists."""
+    from roadloom.llm.jaccard_join import candidates_between
+
+    rng = random.Random(8)
+    label = {i: rng.choice([i, -5, 3, 900]) for i in range(40)}
+    rows = [(k, t, i, 10 + i % 3, label[i]) for k in (0, 1) for t in range(30) for i in rng.sample(range(40), rng.randrange(2, 9))]
+    got = {(r.a, r.b) for r in candidates_between(spark.createDataFrame(rows, "order int, token long, node long, n long, label long"), 80).collect()}
+    met = [{(min(x[2], y[2]), max(x[2], y[2])) for x in rows for y in rows if x[:2] == y[:2] and x[0] == k and x[4] != y[4] and 100 * min(x[3], y[3]) >= 80 * max(x[3], y[3])} for k in (0, 1)]
+    assert got == met[0] & met[1] and len(got) > 20
