@@ -38,7 +38,7 @@ from roadloom.llm.word_hash import chunks, mix, word_hashes
 _U = np.uint64
 K = 5
 END, START = (int(x) for x in mix(np.array([1, 2], _U), 999))
-BATCH_TOKENS, CELL_TOKENS, SLICE_WORDS = 4_000_000, 4_000_000, 2_000_000
+BATCH_TOKENS, CELL_TOKENS, SLICE_WORDS = 1_500_000, 3_000_000, 2_000_000
 DOCS, HEADS, MASSES, UNSEEN, STATS = range(5)
 
 
@@ -180,7 +180,9 @@ def pair_batches(docs: DataFrame, slices: int, ranges: int, labels: list[int]) -
         h[ends - n] = _U(START)
         words, code = np.unique(np.concatenate([t, h]), return_inverse=True)
         w_code, h_code = code[: len(t)].astype(_U), code[len(t) :].astype(_U)
+        toks.clear()
         key, times = np.unique(doc.astype(_U) << _U(46) | w_code << _U(23) | h_code, return_counts=True)  # once a document
+        del t, h, doc, code, w_code, h_code  # what is held at once is a few times BATCH_TOKENS numbers
         d, wc, hc = (key >> _U(46)).astype(np.int64), (key >> _U(23) & _U((1 << 23) - 1)).astype(np.int64), (key & _U((1 << 23) - 1)).astype(np.int64)
         cell = slice_of(words, slices)[wc] * ranges + slice_of(mix(words, 7), ranges)[hc]
         order = np.argsort(cell, kind="stable")
