@@ -3,7 +3,8 @@
 Pixels within the buffer of a segment come from arithmetic on the segment's
 box, tile by tile. Thinning is local: a pixel's fate in n passes hangs on the
 pixels at most 2n away, so each tile is thinned with a halo of that many
-pixels by itself, in numpy, and its halo is cut off again.
+pixels by itself, in numpy, and its halo is cut off again. Rounds of n passes,
+each written, exchange the halos until no pixel goes any more.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geometry as G
 from roadloom.operators.graph import components
+from roadloom.sources.store import stored
 
 
 def surface_pixels(lines: DataFrame, geom: str, buffer: float, pixel: float) -> DataFrame:
@@ -47,7 +49,17 @@ def thin(image: np.ndarray, passes: int) -> np.ndarray:
 
 
 def skeleton_pixels(pixels: DataFrame, passes: int = 24, tile: int = 256) -> DataFrame:
-    """Pixels that thinning leaves. A tile is a group of a size that the pixel grid fixes."""
+    """Pixels that thinning leaves, in rounds of `passes` until none changes."""
+    left, n = pixels, -1
+    while True:
+        left = stored(thinned(left, passes, tile))
+        before, n = n, left.count()
+        if n == before:
+            return left
+
+
+def thinned(pixels: DataFrame, passes: int, tile: int) -> DataFrame:
+    """Pixels that `passes` passes of thinning leave. A tile is a group of a size that the pixel grid fixes."""
     halo = 2 * passes
     reach = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
     dealt = pixels.select("px", "py", F.explode(reach("px")).alias("tx")).select("px", "py", "tx", F.explode(reach("py")).alias("ty"))

@@ -1,5 +1,6 @@
 """Small fixtures whose results were worked out by hand, and properties that must hold."""
 
+import os
 import random
 
 import numpy as np
@@ -174,3 +175,23 @@ def test_encodings(spark, tmp_path):
         path.write_bytes("road,方向\n1,东\n".encode(name))
         found = text.encoding_of(spark, f"file://{path}")
         assert text.csv_table(spark, f"file://{path}", "road int, d string", found).first().d == "东"
+
+
+def test_thinning_goes_on_until_no_pixel_changes(spark):
+    image = np.zeros((300, 150), bool)
+    image[5:290, 5:140] = True
+    image[100:120, 60:80] = False
+    px = spark.createDataFrame([(int(i), int(j)) for i, j in np.argwhere(image)], "px long, py long")
+    got = {(r.px, r.py) for r in raster.skeleton_pixels(px, passes=8, tile=64).collect()}
+    assert got == {(int(i), int(j)) for i, j in np.argwhere(raster.thin(image, 1000))}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are absent")
+def test_every_line_takes_part_in_matching(spark):
+    from roadloom.plans import QUERIES, catalog
+
+    catalog.load()
+    sf = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    rows = QUERIES["projection_metrics"](spark, sf).select("seg_id", "cline_id").collect()
+    assert {r.seg_id for r in rows} | {r.cline_id for r in rows} == ids
