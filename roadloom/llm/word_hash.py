@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,22 +23,10 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-_VALUES = mix(np.arange(256, dtype=_U), 17)
-_ODD = 0xD6E8FEB86659FD93
-_INVERSE = pow(_ODD, -1, 1 << 64)
-_powers = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """_ODD and its inverse to the powers 0 to n-1, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_ODD, _INVERSE)):
-                x = np.full(size, _U(base))
-                x[0] = 1
-                _powers[k] = np.multiply.accumulate(x)
-    return _powers
+#: Words of more bytes are hashed one by one by blake2b.
+_MOST = 256
+#: The lowest 0 to 8 bytes of a block.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def encode(text: str | None) -> bytes:
@@ -45,20 +34,35 @@ def encode(text: str | None) -> bytes:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of bytes other than white space) of the texts, in order, and the number in each text."""
-    joined = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    """Hashes of all words (runs of bytes other than white space) of the texts, in order, and the number in each text.
+
+    A word's blocks of eight bytes go through `mix` one after the other, begun
+    with its length, so words of eight bytes or fewer never collide among
+    their length and no rule of spelling makes longer ones collide; two given
+    words do so with a chance of about 2^-64.
+    """
+    joined = np.frombuffer(b" ".join([*texts, bytes(8)]), np.uint8)
     word = ~_SPACE[joined]
-    edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    word[-8:] = False
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if len(word) and word[0]:
+        edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
     offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
     counts = np.diff(np.searchsorted(starts, offsets))
-    up, down = _power_tables(len(joined) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(joined) + 1, _U)
-        sums[0] = 0
-        np.cumsum(_VALUES[joined] * up[: len(joined)], out=sums[1:])
-        found = (sums[ends] - sums[starts]) * down[starts]
-    return mix(found, 3), counts
+    blocks = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    size = ends - starts
+    found = mix(mix(size.astype(_U), 3) ^ blocks[starts] & MASKS[np.minimum(size, 8)], 4)
+    at = np.flatnonzero(size > 8)
+    for done in range(8, _MOST, 8):
+        if not len(at):
+            break
+        rest = size[at] - done
+        found[at] = mix(found[at] ^ blocks[starts[at] + done] & MASKS[np.minimum(rest, 8)], 4)
+        at = at[rest > 8]
+    for i in np.flatnonzero(size > _MOST).tolist():
+        found[i] = int.from_bytes(hashlib.blake2b(joined[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return found, counts
 
 
 def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -75,23 +79,39 @@ def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         yield first, held
 
 
+#: Odd multipliers of a shingle's words, in order.
+_ODD = mix(np.arange(64, dtype=_U), 7) | _U(1)
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each run of `width` words; of all words where there are fewer; none without words."""
+    """Hash of each run of `width` words (64 at most); of all words where there are fewer; none without words."""
     n = len(words)
     if not n:
         return words
-    width_here = min(width, n)
+    here = min(width, n)
     with np.errstate(over="ignore"):
-        total = np.zeros(n - width_here + 1, _U)
-        for j in range(width_here):
-            total += mix(words[j : n - width_here + 1 + j], 100 + j)
-    return mix(total, 1000 + width_here)
+        total = words[: n - here + 1] * _ODD[0]
+        for j in range(1, here):
+            total += words[j : n - here + 1 + j] * _ODD[j]
+    return mix(total, 1000 + here)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    if len(x) < 2:
+        return x
+    keep = np.empty(len(x), bool)
+    keep[0] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for _, held in chunks(texts):
         words, counts = word_hashes(held)
+        over = shingles(words, width)  # of all texts; those that cross from one to the next are not looked at
         ends = np.cumsum(counts)
         for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-            yield np.unique(shingles(words[a:b], width))
+            yield distinct(over[a : b - width + 1] if b - a >= width else shingles(words[a:b], width))
