@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 import gc
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import space_units
+from roadloom.llm.text_pieces import PieceCoder
 
 _NONE = 1 << 62
 
@@ -86,18 +85,12 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def pack(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class RankCodec:
-    """Encodes and decodes by a file of ranks. Ids of text units are kept, as words recur; what is kept is bounded."""
+    """Encodes and decodes by a file of ranks. Ids of pieces are kept, as words recur; what is kept is bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 800_000):
-        self.ranks, self.find, self.keep = ranks, regex.compile(pattern).findall, keep
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks = ranks
+        self.coder = PieceCoder(lambda piece: merge_piece(piece.encode(), ranks), regex.compile(pattern).findall)
         lengths = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
         for token, i in ranks.items():
             lengths[i] = len(token)
@@ -113,34 +106,13 @@ class RankCodec:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         return cls(ranks, pattern)
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = pack(merge_piece(piece.encode(), self.ranks))
-            if len(piece) <= 64:
-                if len(self.pieces) >= self.keep:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
-
-    def _unit(self, unit: str) -> bytes:
-        """Ids of a unit with the space before it; a word of letters only is one piece."""
-        ids = self._piece(" " + unit) if unit.isalpha() else b"".join(map(self._piece, self.find(" " + unit)))
-        if len(unit) <= 64:
-            if len(self.units) >= self.keep:
-                self.units.clear()
-            self.units[unit] = ids
-        return ids
+    def column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(index of the first, ids, number of each) of runs of whole texts; nulls are empty."""
+        return self.coder.column(texts)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of the whole text as little-endian unsigned 32-bit integers; null is the empty text."""
-        if not text:
-            return np.empty(0, "<u4")
-        get, miss = self.units.get, self._unit
-        first, *rest = space_units(text)
-        found = [b"".join(map(self._piece, self.find(first)))] if first else []
-        found += [get(u) or miss(u) for u in rest]
-        return np.frombuffer(b"".join(found), "<u4")
+        return np.concatenate([ids for _, ids, _ in self.column(pa.array([text], pa.string()))])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""
@@ -185,10 +157,10 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            found = [own.encode(x).astype(np.int32) for x in b.column(len(names) - 1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), flat)], names=names)
+            for first, found, counts in own.column(b.column(len(names) - 1)):
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view("<i4")))
+                yield pa.RecordBatch.from_arrays([*[c.slice(first, len(counts)) for c in b.columns[:-1]], lists], names=names)
 
     from pyspark.sql import types as T
 

@@ -1,8 +1,7 @@
-"""What several of the operators share: the shared folder, written intermediate tables and text units."""
+"""What several of the operators share: the shared folder and written intermediate tables."""
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -47,20 +46,3 @@ def balanced_labels(spark: SparkSession, n: int) -> list[int]:
     for r in rows.groupBy("p").agg(F.slice(F.array_sort(F.collect_list("id")), 1, rounds).alias("ids")).collect():
         of[r["p"]] = r["ids"]
     return [of[i % parts][i // parts] for i in range(n)]
-
-
-_OPEN, _CLOSED = re.compile(r"\s \s"), re.compile(r"(?<=\S)(?= \S)")
-
-
-def space_units(text: str) -> list[str]:
-    """`text` cut before single spaces so that no match of the pre-tokenizers' pattern spans a cut.
-
-    Joined by one space, the units are the text; all but the first stand for
-    themselves with a space before. The pattern lets a space begin a piece
-    only before a character that is not white space, so a cut is safe unless
-    white space stands on both sides of its space, or before one that ends
-    the text; such a text is cut only between other characters.
-    """
-    if _OPEN.search(text) or text[-1:] == " " and text[-2:-1].isspace():
-        return [u[1:] if i else u for i, u in enumerate(_CLOSED.split(text))]
-    return text.split(" ")

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow.fs import FileSystem
 from pyspark import TaskContext
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import new_folder, partitions
+from roadloom.llm.text_pieces import PieceCoder
 
 MAGIC = b"BPLANES1"
 BLOCK = 1 << 16
@@ -54,11 +56,13 @@ class TokenFileWriter:
         self.held: list[np.ndarray] = []
         self.n_held = self.total = 0
         self.chunks: list[list] = []
-        self.docs: list[tuple] = []
+        self.n_docs, self.docs = 0, []  # (ids, which are null, lengths) of runs of documents
         self.at = out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, self.total, len(ids)))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents whose ids lie one after the other in `ids`."""
+        self.docs.append((np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8), lengths.astype("<i8")))
+        self.n_docs += len(doc_ids)
         self.total += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -67,7 +71,7 @@ class TokenFileWriter:
             cut = len(all_ids) // self.block * self.block
             for i in range(0, cut, self.block):
                 self._chunk(all_ids[i : i + self.block])
-            self.held, self.n_held = [all_ids[cut:]], len(all_ids) - cut
+            self.held, self.n_held = [all_ids[cut:].copy()], len(all_ids) - cut
 
     def _chunk(self, ids: np.ndarray) -> None:
         planes = [self.press.compress(p) for p in to_planes(ids, self.kind)]
@@ -77,9 +81,9 @@ class TokenFileWriter:
     def close(self) -> None:
         if self.n_held:
             self._chunk(np.concatenate(self.held))
-        null = np.array([d is None for d, _, _ in self.docs], np.uint8)
-        arrays = [np.array(self.chunks, "<i8").reshape(len(self.chunks), len(self.chunks[0]) if self.chunks else 0), np.array([d or 0 for d, _, _ in self.docs], "<i8"), np.array([n for _, _, n in self.docs], "<i8"), null]
-        head = json.dumps({"kind": self.kind, "total": self.total, "n_chunks": len(self.chunks), "n_docs": len(self.docs), "width": arrays[0].shape[1] if self.chunks else 0}).encode()
+        doc_ids, null, lengths = (np.concatenate(c) for c in zip(*self.docs, strict=True)) if self.docs else (np.zeros(0, "<i8"), np.zeros(0, np.uint8), np.zeros(0, "<i8"))
+        arrays = [np.array(self.chunks, "<i8").reshape(len(self.chunks), len(self.chunks[0]) if self.chunks else 0), doc_ids, lengths, null]
+        head = json.dumps({"kind": self.kind, "total": self.total, "n_chunks": len(self.chunks), "n_docs": self.n_docs, "width": arrays[0].shape[1] if self.chunks else 0}).encode()
         index = self.press.compress(struct.pack("<I", len(head)) + head + b"".join(a.tobytes() for a in arrays))
         self.out.write(index + struct.pack("<Q", len(index)) + MAGIC)
 
@@ -129,17 +133,20 @@ def read_documents(f) -> Iterator[tuple[int | None, int, np.ndarray]]:
         yield None if null else doc_id, start, held[:n]
 
 
-def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[str | None], np.ndarray]], end_id: int | None = 0, kind: str = "byte", folder: str | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, encoder: Callable, end_id: int | None = 0, kind: str = "byte", folder: str | None = None, file_tokens: int = 1 << 28, file_docs: int = 1 << 20) -> DataFrame:
     """Write the ids of `docs` (doc_id, text) in ascending doc_id order as token files in a shared folder.
 
-    Returns the manifest, itself a written table: part, path, n_docs,
+    Returns the manifest, itself a written table: part, file, path, n_docs,
     n_tokens. Parts are ranges of doc_id in ascending order (null first), so
-    their ids follow each other. `encoder` is called once per task and gives
-    the function from a text to its ids; `end_id` is appended to each
-    document. Null and empty texts have just the end id. Equal doc_ids keep
-    all their rows, ordered by text; other columns of `docs` are ignored.
-
-    Each attempt of a task writes a file of its own name, and the manifest
+    their ids follow each other; a part is cut into files of about
+    `file_tokens` ids and `file_docs` documents, which bounds the index that a
+    task holds. `encoder` is called once per task and gives an object with
+    column(texts), which yields (index of the first, ids, number of each) of
+    runs of texts; `end_id` is appended to each document. Null and empty texts
+    have just the end id. Equal doc_ids keep all their rows, ordered by text;
+    other columns of `docs` are ignored.
+
+    Each attempt of a task writes files of its own names, and the manifest
     names those of committed tasks, so a lost executor leaves an orphan at
     most, never a wrong or half-written part.
     """
@@ -148,25 +155,34 @@ def write_token_files(docs: DataFrame, encoder: Callable[[], Callable[[str | Non
     dealt = docs.select("doc_id", "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, out = encoder(), None, None
+        encode, writer, out, path, done = encoder(), None, None, "", 0
         part = TaskContext.get().partitionId()
-        end = np.array([] if end_id is None else [end_id], "<u4")
+        fs, top = FileSystem.from_uri(folder)
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": [part], "file": [done], "path": [path], "n_docs": [writer.n_docs], "n_tokens": [writer.total]})
+
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            doc_ids = b.column(0).to_pylist()
+            for first, ids, counts in encode.column(b.column(1)):
                 if writer is None:
-                    fs, top = FileSystem.from_uri(folder)
                     fs.create_dir(top, recursive=True)
-                    name = f"part-{part:06d}-{uuid.uuid4().hex}.planes"
-                    out = fs.open_output_stream(f"{top}/{name}")
+                    name = f"part-{part:06d}-{done:06d}-{uuid.uuid4().hex}.planes"
+                    path, out = f"{folder}/{name}", fs.open_output_stream(f"{top}/{name}")
                     writer = TokenFileWriter(out, kind)
-                writer.add(doc_id, np.concatenate([encode(text), end]))
+                if end_id is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                writer.add(doc_ids[first : first + len(counts)], ids, counts)
+                if writer.total >= file_tokens or writer.n_docs >= file_docs:
+                    yield closed()
+                    writer, done = None, done + 1
         if writer is not None:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{folder}/{name}"], "n_docs": [len(writer.docs)], "n_tokens": [writer.total]})
+            yield closed()
 
     manifest = f"{folder}-manifest"
-    dealt.mapInArrow(run, "part long, path string, n_docs long, n_tokens long").write.parquet(manifest)
+    dealt.mapInArrow(run, "part long, file long, path string, n_docs long, n_tokens long").write.parquet(manifest)
     return spark.read.parquet(manifest)
 
 
@@ -176,7 +192,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     The manifest has a row a file, so its running sum is taken on the driver.
     """
     spark = manifest.sparkSession
-    files = manifest.select("part", "path", "n_tokens").orderBy("part").collect()
+    files = manifest.select("path", "n_tokens").orderBy("part", "file").collect()
     bases, base = [], 0
     for r in files:
         bases.append((r["path"], base))
@@ -205,45 +221,44 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class LibraryEncoder:
-    """Encodes with a byte-level BPE file of the tokenizers library; ids of words are kept, in bounds, as words recur.
+    """Encodes as encode(text, add_special_tokens=False) of a byte-level BPE file of the tokenizers library does.
 
     The library's model gets each match of its byte-level pre-tokenizer's
-    pattern in its own byte alphabet, which is what its encode() does to a
-    whole text; strings of special tokens in a text are ordinary text.
+    pattern in its own byte alphabet, once as long as the piece is kept. A
+    text that holds the string of an added token goes to encode() as a whole.
     """
 
-    def __init__(self, path: str, pattern: str, keep: int = 800_000):
+    def __init__(self, path: str, pattern: str):
         import regex
         from tokenizers import Tokenizer
 
-        self.model, self.find, self.keep = Tokenizer.from_file(path).model, regex.compile(pattern).findall, keep
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
         self.alphabet = {b: b if b in plain else next(other) for b in range(256)}
-        self.units: dict[str, bytes] = {}
-
-    def _pieces(self, pieces: list[str]) -> bytes:
-        tokens = [t.id for p in pieces for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.alphabet))]
-        return struct.pack(f"<{len(tokens)}I", *tokens)
-
-    def _unit(self, unit: str) -> bytes:
-        ids = self._pieces([" " + unit] if unit.isalpha() else self.find(" " + unit))
-        if len(unit) <= 64:
-            if len(self.units) >= self.keep:
-                self.units.clear()
-            self.units[unit] = ids
-        return ids
+        self.model = self.whole.model
+        self.coder = PieceCoder(self._piece, regex.compile(pattern).findall)
+
+    def _piece(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+
+    def column(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(index of the first, ids, number of each) of runs of texts."""
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        begin = 0
+        for i in [*np.flatnonzero(special).tolist(), len(texts)]:
+            for first, ids, counts in self.coder.column(texts.slice(begin, i - begin)):
+                yield begin + first, ids, counts
+            if i < len(texts):
+                ids = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+                yield i, ids, np.array([len(ids)])
+            begin = i + 1
 
     def __call__(self, text: str | None) -> np.ndarray:
-        from roadloom.llm.common import space_units
-
-        if not text:
-            return np.empty(0, "<u4")
-        get, miss = self.units.get, self._unit
-        first, *rest = space_units(text)
-        found = [self._pieces(self.find(first))] if first else []
-        found += [get(u) or miss(u) for u in rest]
-        return np.frombuffer(b"".join(found), "<u4")
+        return np.concatenate([ids for _, ids, _ in self.column(pa.array([text], pa.string()))])
 
 
 _encoders: dict[tuple[str, str], LibraryEncoder] = {}
