@@ -45,18 +45,16 @@ def _contracted(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b", task_links: int = TASK_LINKS) -> DataFrame:
     """(node, label) of every node in `links`; label is the least node that links reach.
 
-    Links are dealt to tasks of `task_links` each, which contract theirs to
-    stars; one task is enough for that many. More are joined then: each round
-    a node takes the least label among its own and its neighbours', and the
-    label of that label's node, which halves what is left of long paths.
-    Rounds are written to the shared folder. Links between a node and itself,
-    twice told links and links in either direction are the same as one; no
-    links give no nodes.
+    Links are dealt to tasks of about `task_links` each, which contract theirs
+    to stars. These are joined then: each round a node takes the least label
+    among its own and its neighbours', and the label of that label's node,
+    which halves what is left of long paths, until nothing changes. Rounds
+    are written to the shared folder. Links between a node and itself, twice
+    told links and links in either direction are the same as one; no links
+    give no nodes.
     """
     once = written(links.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct(), "links")
-    tasks = -(-once.count() // task_links)
-    if tasks <= 1:
-        return written(_contracted(once.repartition(1)), "labels")
+    tasks = max(1, -(-once.count() // task_links))
     stars = written(_contracted(once.repartition(tasks, "x")), "stars")
     both = written(stars.select(F.col("node").alias("x"), F.col("label").alias("y")).union(stars.select("label", "node")).distinct(), "links")
     labels = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).withColumnRenamed("x", "node"), "labels")

@@ -107,11 +107,17 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[keep]
 
 
-def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    for _, held in chunks(texts):
+def set_chunks(texts: list[str | None], width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first, sorted distinct shingle hashes of each text one after the other, their numbers) of runs of texts."""
+    for first, held in chunks(texts):
         words, counts = word_hashes(held)
         over = shingles(words, width)  # of all texts; those that cross from one to the next are not looked at
         ends = np.cumsum(counts)
-        for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-            yield distinct(over[a : b - width + 1] if b - a >= width else shingles(words[a:b], width))
+        sets = [distinct(over[a : b - width + 1] if b - a >= width else shingles(words[a:b], width)) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+        yield first, np.concatenate(sets), np.array([len(x) for x in sets])
+
+
+def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for _, flat, counts in set_chunks(texts, width):
+        yield from np.split(flat, np.cumsum(counts)[:-1])
