@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadloom.llm.hash_tree import even_tree, shard_by_tree
+from roadloom.llm.hash_tree import Leaf, even_tree, grow, shard_by_tree
 
 
 def op1_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return shard_by_tree(docs, even_tree(40), even_tree(41))
+    tree = even_tree(40)
+    return shard_by_tree(docs, tree, grow(tree, [Leaf(4, 20, 40)]))
