@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
+
+import numpy as np
 
 from roadloom.llm.chat_windows import chat_windows, read_back
-from roadloom.llm.multi_pattern import WuManber, build, mark_benchmark_words, words_of
+from roadloom.llm.multi_pattern import Searchers, WuManber, mark_benchmark_words, words_of
 from roadloom.llm.quality_rules import judge_quality, with_base_counts
 from roadloom.llm.url_filter import judge_urls
 
@@ -20,12 +23,24 @@ def test_wu_manber_finds_what_comparison_finds():
     rng = random.Random(3)
     for _ in range(300):
         m = rng.randrange(1, 6)
-        patterns = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(m)): {str(i)} for i in range(rng.randrange(1, 6))}
-        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randrange(0, 40))]
-        got = list(WuManber(patterns, m, rng.randrange(1, 4)).search(words))
+        patterns = {tuple(rng.randrange(1, 4) for _ in range(m)): (i,) for i in range(rng.randrange(1, 6))}
+        words = [rng.randrange(5) for _ in range(rng.randrange(0, 40))]
+        found = WuManber(np.array(list(patterns), np.int64), list(patterns.values()), [])
+        got = list(found.search(words, np.array(words, np.int32).tobytes()))
         assert got == [(i, patterns[tuple(words[i : i + m])]) for i in range(len(words) - m + 1) if tuple(words[i : i + m]) in patterns]
 
 
+def test_tables_take_what_the_docstring_says():
+    rng = random.Random(9)
+    items = [(i, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(500))) for i in range(300)]  # 1 MB of words that hardly recur
+    tracemalloc.start()
+    kept = Searchers(items, 10)
+    now, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    size = sum(len(t) for _, t in items)
+    assert kept.search(items[7][1])[2] == {"7"} and now < 80 * size and peak < 160 * size
+
+
 def test_words_are_as_the_pattern_says():
     text = "".join(map(chr, range(0x180))) + "Ünï 中文 a1B2"
     assert words_of(text) == [w.encode() for w in WORDS.findall(lower(text))]
@@ -60,7 +75,7 @@ def test_benchmark_words_in_one_and_many_blocks(spark):
             assert sum(s.end - s.start for s in r.hit_spans) == r.n_hit
     assert mark_benchmark_words(frame.limit(0), bench).count() == 0
     assert all(r.n_hit == 0 for r in mark_benchmark_words(frame, bench.limit(0)).collect())
-    assert build([], 10) == []
+    assert Searchers([], 10).by_length == []
 
 
 def brute_base(text):
