@@ -5,6 +5,11 @@ the system turn, as many of the last turns before its span as the history
 budget holds, and the span. Repeated turns (the system turn after the first
 window, and history) are outside the loss mask, so every assistant turn is a
 target exactly once.
+
+No conversation is gathered in one row. Prefix sums are taken in blocks of
+turns, and blocks offset by their totals; spans are chosen page by page, a page
+being what lies within PAGE budgets of tokens; a window is put together from
+its own turns alone.
 """
 
 from __future__ import annotations
@@ -12,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import written
+
 END = "<|end|>\n"
+#: Turn numbers to a block of prefix sums, and budgets of tokens to a page of spans.
+BLOCK, PAGE = 4096, 16
 TURNS = r"<\|([^|]*)\|>\n([^<]*)<\|end\|>\n"
 
 
@@ -31,74 +40,76 @@ def unescape(text: Column) -> Column:
     return out
 
 
-def chat_windows(turns: DataFrame, budget: int = 512, history: int = 128, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def chat_windows(turns: DataFrame, budget: int = 512, history: int = 128, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", token: str = r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]") -> DataFrame:
     """conv, window (from 0), formatted, loss_spans (start, end in code points), n_tokens, n_repeated (leading turns that an earlier window had).
 
     A turn is formatted as `<|role|>`, a newline, its escaped text and
-    `<|end|>` with a newline. Tokens are white-space separated words and 4 for
-    the marks. A span takes the next turns while system turn, history budget
-    and span fit `budget`; a turn longer than that is a span of its own and is
-    never cut. A first turn of role `system` is retained in every window.
-    Null roles and texts are empty; a null conv is a conversation; rows of
-    equal turn keep all, ordered by role and text; other columns are left out;
-    an empty table gives none.
+    `<|end|>` with a newline. Tokens are matches of the pattern `token`, about
+    those of a byte-level BPE, and 4 for the marks. A span takes the next
+    turns while system turn, history budget and span fit `budget`, and ends
+    with its page; a turn longer than that is a span of its own and is never
+    cut. A first turn of role `system` is retained in every window. Null roles
+    and texts are empty; a null conv is a conversation; `turn` is a number
+    (nulls first), rows of equal turn keep all, ordered by role and text;
+    other columns are left out; an empty table gives none.
     """
-    marked = turns.select(
-        F.col(conv).alias("_c"),
-        F.col(turn).alias("_t"),
-        F.coalesce(F.col(role), F.lit("")).alias("_r"),
-        F.coalesce(F.col(text), F.lit("")).alias("_x"),
-    )
-    by_turn = Window.partitionBy("_c").orderBy("_t", "_r", "_x")
+    raw = F.coalesce(F.col(text), F.lit(""))
+    marked = turns.select(F.col(conv).alias("_c"), F.col(turn).alias("_t"), F.floor(F.col(turn) / BLOCK).alias("_k"), F.coalesce(F.col(role), F.lit("")).alias("_r"), raw.alias("_x"))
     head = F.concat(F.lit("<|"), escape(F.col("_r")), F.lit("|>\n"))
-    shown = marked.select(
-        "_c", "_t", "_r", "_x",
-        F.row_number().over(by_turn).alias("seq"),
-        (F.size(F.filter(F.split("_x", r"\s+"), lambda w: w != "")) + 4).cast("long").alias("tokens"),
-        F.char_length(head).cast("long").alias("head"),
-        F.concat(head, escape(F.col("_x")), F.lit(END)).alias("shown"),
-    ).withColumn("is_system", (F.col("seq") == 1) & (F.col("_r") == "system"))
+    shown = marked.select("_c", "_t", "_k", "_r", "_x", (F.regexp_count("_x", F.lit(token)) + 4).cast("long").alias("tokens"), F.char_length(head).cast("long").alias("head"), F.concat(head, escape(F.col("_x")), F.lit(END)).alias("shown"))
+    by_turn = Window.partitionBy("_c", "_k").orderBy("_t", "_r", "_x")
     before = by_turn.rowsBetween(Window.unboundedPreceding, -1)
-    in_body = lambda c: F.when(F.col("is_system"), 0).otherwise(c)
-    summed = shown.select(
-        "*",
-        F.coalesce(F.sum(in_body(F.col("tokens"))).over(before), F.lit(0)).alias("tokens_before"),
-        F.coalesce(F.sum(in_body(F.char_length("shown").cast("long"))).over(before), F.lit(0)).alias("chars_before"),
-    )
-    one = F.struct("seq", "tokens", "tokens_before", "chars_before", "head", F.char_length("shown").cast("long").alias("chars"), (F.col("_r") == "assistant").alias("target"), "shown")
-    convs = summed.groupBy("_c").agg(F.sort_array(F.collect_list(F.when(~F.col("is_system"), one))).alias("body"), F.first(F.when(F.col("is_system"), F.struct("shown", "tokens")), ignorenulls=True).alias("system"))
-    room = F.greatest(F.lit(1).cast("long"), F.lit(budget - history).cast("long") - F.coalesce(F.col("system.tokens"), F.lit(0).cast("long")))
-    start = F.struct(F.lit(0).cast("long").alias("since"), F.lit(0).alias("span"), F.expr("CAST(array() AS array<int>)").alias("spans"))
-
-    def choose(acc: Column, x: Column) -> Column:
-        ends = x.getField("tokens_before") + x.getField("tokens")
-        more = (ends - acc.getField("since") > F.col("_room")) & (x.getField("tokens_before") > acc.getField("since"))
-        span = F.when(more, acc.getField("span") + 1).otherwise(acc.getField("span"))
-        return F.struct(F.when(more, x.getField("tokens_before")).otherwise(acc.getField("since")).alias("since"), span.alias("span"), F.concat(acc.getField("spans"), F.array(span)).alias("spans"))
-
-    spanned = convs.withColumn("_room", room).withColumn("spans", F.aggregate("body", start, choose, lambda a: a.getField("spans")))
-    each = spanned.select("_c", "body", "system", "spans", F.explode(F.sequence(F.lit(0), F.coalesce(F.array_max("spans"), F.lit(0)))).alias("window"))
-    first = F.greatest(F.array_position("spans", F.col("window")).cast("int"), F.lit(1))  # 1-based
-    count = F.size(F.filter("spans", lambda s: s == F.col("window")))
-    placed = each.withColumn("first", first).withColumn("span", F.slice("body", F.col("first"), count))
-    base = F.get("body", F.col("first") - 1).getField("tokens_before")
-    behind = F.filter(F.slice("body", F.lit(1), F.col("first") - 1), lambda x: F.col("_base") - x.getField("tokens_before") <= history)
-    framed = placed.withColumn("_base", base).withColumn("past", behind)
-    lead = F.coalesce(F.char_length("system.shown"), F.lit(0)).cast("long") + F.aggregate("past", F.lit(0).cast("long"), lambda a, x: a + x.getField("chars"))
-    text_of = lambda c: F.array_join(F.transform(c, lambda x: x.getField("shown")), "")
-    tokens_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.getField("tokens"))
+    sum_before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    inside = shown.withColumn("chars", F.char_length("shown").cast("long")).select(
+        "_c", "_k", "_r", "tokens", "head", "shown", "chars", F.row_number().over(by_turn).cast("long").alias("seq"), sum_before("tokens", before).alias("at"), sum_before("chars", before).alias("chars_at")
+    )
+    inside = written(inside, "turns")
+    of_blocks = Window.partitionBy("_c").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    totals = inside.groupBy("_c", "_k").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("chars").alias("ch"))
+    offsets = totals.select(F.col("_c").alias("_c2"), F.col("_k").alias("_k2"), *[sum_before(c, of_blocks).alias(f"_{c}") for c in ("n", "t", "ch")])
+    same_block = F.col("_c").eqNullSafe(F.col("_c2")) & F.col("_k").eqNullSafe(F.col("_k2"))
+    placed = inside.join(offsets, same_block).select("_c", "_r", "tokens", "head", "shown", "chars", (F.col("seq") + F.col("_n")).alias("seq"), (F.col("at") + F.col("_t")).alias("at"), (F.col("chars_at") + F.col("_ch")).alias("chars_at"))
+    system = placed.where("seq = 1 AND _r = 'system'").select(F.col("_c").alias("_s"), F.col("tokens").alias("s_tokens"), F.col("chars").alias("s_chars"), F.col("shown").alias("s_shown"))
+    system = written(system, "system-turns")
+    with_system = placed.join(system.select("_s", "s_tokens", F.lit(True).alias("_has")), F.col("_c").eqNullSafe(F.col("_s")), "left")
+    body = with_system.where("NOT (seq = 1 AND _has IS NOT NULL)").withColumn("at", F.col("at") - F.coalesce("s_tokens", F.lit(0)))
+
+    room = F.greatest(F.lit(1).cast("long"), F.lit(budget - history).cast("long") - F.coalesce("s_tokens", F.lit(0)))
+    paged = body.select("_c", room.alias("room"), F.floor(F.col("at") / (PAGE * room)).alias("page"), "at", "seq", "tokens")
+    # a page holds PAGE budgets of tokens and a turn has four or more: its array has a bounded size
+    pages = paged.groupBy("_c", "page").agg(F.first("room").alias("room"), F.sort_array(F.collect_list(F.struct("seq", "at", "tokens"))).alias("body"))
+    start = F.expr("CAST(array() AS array<struct<seq: bigint, at: bigint>>)")
+
+    def choose(starts: Column, x: Column) -> Column:
+        since = F.get(starts, F.size(starts) - 1).getField("at")
+        more = (F.size(starts) == 0) | (x.getField("at") + x.getField("tokens") - since > F.col("room")) & (x.getField("at") > since)
+        return F.when(more, F.concat(starts, F.array(F.struct(x.getField("seq"), x.getField("at"))))).otherwise(starts)
+
+    spanned = pages.select("_c", F.aggregate("body", start, choose).alias("starts"), F.get("body", F.size("body") - 1).getField("seq").alias("last"))
+    spans = spanned.select("_c", F.inline(F.transform("starts", lambda x, i: F.struct(x.getField("seq").alias("first"), x.getField("at").alias("base"), F.coalesce(F.get("starts", i + 1).getField("seq") - 1, F.col("last")).alias("last")))))
+    windows = spans.select("*", (F.row_number().over(Window.partitionBy("_c").orderBy("first")) - 1).alias("window"))
+    back = F.greatest(F.lit(1).cast("long"), F.col("first") - history // 4)
+    members = windows.select(F.col("_c").alias("_w"), "window", "first", "base", F.explode(F.sequence(back, "last")).alias("_seq"))
+    joined = members.join(body.select("_c", "seq", "at", "_r", "tokens", "head", "chars", "chars_at", "shown"), F.col("_w").eqNullSafe(F.col("_c")) & (F.col("_seq") == F.col("seq")))
+    kept = joined.where((F.col("seq") >= F.col("first")) | (F.col("base") - F.col("at") <= history))
+    one = F.struct("seq", (F.col("seq") >= F.col("first")).alias("own"), "tokens", "head", "chars", "chars_at", (F.col("_r") == "assistant").alias("target"), "shown")
+    framed = kept.groupBy("_c", "window").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    alone = system.join(framed.where("window = 0").select("_c"), F.col("_s").eqNullSafe(F.col("_c")), "left_anti")
+    nothing = alone.select(F.col("_s").alias("_c"), F.lit(0).alias("window"), F.lit(None).cast(framed.schema["turns"].dataType).alias("turns"))
+    whole = framed.unionByName(nothing).withColumn("turns", F.coalesce("turns", F.expr(f"CAST(array() AS {framed.schema['turns'].dataType.simpleString()})")))
+    whole = whole.join(system, F.col("_c").eqNullSafe(F.col("_s")), "left")
 
     def mask(x: Column) -> Column:
-        at = F.col("_lead") + x.getField("chars_before") - F.get("span", F.lit(0)).getField("chars_before")
+        at = F.coalesce("s_chars", F.lit(0).cast("long")) + x.getField("chars_at") - F.get("turns", F.lit(0)).getField("chars_at")
         return F.struct((at + x.getField("head")).alias("start"), (at + x.getField("chars") - len(END)).alias("end"))
 
-    return framed.withColumn("_lead", lead).select(
+    return whole.select(
         F.col("_c").alias(conv),
         "window",
-        F.concat(F.coalesce("system.shown", F.lit("")), text_of("past"), text_of("span")).alias("formatted"),
-        F.transform(F.filter("span", lambda x: x.getField("target")), mask).alias("loss_spans"),
-        (F.coalesce("system.tokens", F.lit(0).cast("long")) + tokens_of("past") + tokens_of("span")).alias("n_tokens"),
-        (F.size("past") + F.when(F.col("system").isNotNull() & (F.col("window") > 0), 1).otherwise(0)).alias("n_repeated"),
+        F.concat(F.coalesce("s_shown", F.lit("")), F.array_join(F.transform("turns", lambda x: x.getField("shown")), "")).alias("formatted"),
+        F.transform(F.filter("turns", lambda x: x.getField("own") & x.getField("target")), mask).alias("loss_spans"),
+        F.aggregate("turns", F.coalesce("s_tokens", F.lit(0).cast("long")), lambda a, x: a + x.getField("tokens")).alias("n_tokens"),
+        (F.size(F.filter("turns", lambda x: ~x.getField("own"))) + F.when(F.col("s_chars").isNotNull() & (F.col("window") > 0), 1).otherwise(0)).alias("n_repeated"),
     )
 
 
@@ -106,7 +117,8 @@ def read_back(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Per conversation, from its windows' text alone: turns (role, text) without repeats, loss_text and formatted_chars.
 
     The system turn leads each window, so what an earlier window had is the
-    window's first n_repeated turns.
+    window's first n_repeated turns. A conversation's turns are gathered in
+    one row, as its result asks for.
     """
     roles = F.regexp_extract_all("formatted", F.lit(TURNS), F.lit(1))
     texts = F.regexp_extract_all("formatted", F.lit(TURNS), F.lit(2))

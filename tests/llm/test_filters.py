@@ -6,6 +6,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import regex
 
 from roadloom.llm.chat_windows import chat_windows, read_back
 from roadloom.llm.multi_pattern import Searchers, WuManber, mark_benchmark_words, words_of
@@ -144,7 +145,7 @@ def test_chat_windows_round_trip(spark):
         turns.sort()
         assert [(t.role, t.text) for t in back[c].turns] == [x[1:] for x in turns]
         assert back[c].loss_text == "".join(x for _, r, x in turns if r == "assistant")
-    tokens = lambda x: len(x.split()) + 4
+    tokens = lambda x: len(regex.findall(r"\p{L}{1,6}|\p{N}{1,3}|[^\s\p{L}\p{N}]", x)) + 4
     for w in windows.collect():
         if w.n_tokens > budget:
             new = [x for _, _, x in by_conv[w.conv_id]]
@@ -154,6 +155,18 @@ def test_chat_windows_round_trip(spark):
     many = [w for w in windows.collect() if w.conv_id == 900]
     assert len(many) > 10 and all(w.n_repeated == 2 for w in many if w.window) and max(w.n_tokens for w in many) <= budget
     assert chat_windows(frame.limit(0)).count() == 0
+    full = [w for w in many if w.formatted.count("<|end|>") == 7]  # two turns of history and five that fit; the end of a page cuts some short
+    assert len(full) > 0.8 * len(many)
+
+
+def test_one_conversation_of_many_turns(spark):
+    """8,000 turns of 60 words in one conversation, each as brute force formats it."""
+    turns = spark.range(8000).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id = 0 THEN 'system' WHEN id % 2 = 0 THEN 'assistant' ELSE 'user' END AS role", "repeat(concat('word', id, ' '), 60) AS text")
+    windows = chat_windows(turns)
+    (back,) = read_back(windows).collect()
+    assert [(t.role, t.text) for t in back.turns] == [("system" if i == 0 else "user" if i % 2 else "assistant", f"word{i} " * 60) for i in range(8000)]
+    assert back.loss_text == "".join(f"word{i} " * 60 for i in range(2, 8000, 2))
+    assert max(r.n_tokens for r in windows.select("n_tokens").collect()) <= 512
 
 
 def test_url_rules_and_list(spark):
