@@ -103,7 +103,7 @@ def sampled_distance(g: Column, other: Column, step: float) -> Column:
 
     def mean(m: Column) -> Column:
         end = F.element_at(m, -1)
-        return let(samples(end.getField("from") + end.getField("len"), step), lambda s: total(F.transform(s, lambda v: projected(other, along(m, v)).getField("d"))) / F.size(s))
+        return let(samples(end.getField("from") + end.getField("len"), step), lambda s: total(F.transform(F.transform(s, lambda v: along(m, v)), lambda p: projected(other, p).getField("d"))) / F.size(s))
 
     return let(measured(g), mean)
 

@@ -9,6 +9,7 @@ from roadloom.functions.columns import angle_difference, direction_degrees, down
 from roadloom.operators import spatial as S
 from roadloom.plans import query
 from roadloom.plans.panel_queries import rounded
+from roadloom.sources.store import stored
 from roadloom.sources.tables import table
 
 N, SCALE = 32, 1000.0
@@ -135,19 +136,20 @@ def escalating_candidates(spark, sf_dir):
 STEP = 800.0
 SAMPLE = SEG + f""", len AS (SELECT vec_id, sum(len) AS total FROM s GROUP BY 1), smp AS (SELECT vec_id, i * {STEP} AS pos, total FROM len, LATERAL unnest(range(0, CAST(ceil(total / {STEP}) AS BIGINT))) AS t(i) UNION ALL SELECT vec_id, total, total FROM len),
 pts AS (SELECT smp.vec_id, pos, arg_min(struct_pack(x := ax + (bx - ax) * greatest(0.0, least(1.0, (pos - "from") / len)), y := ay + (byy - ay) * greatest(0.0, least(1.0, (pos - "from") / len)), s := pos), k) AS p FROM smp JOIN s ON smp.vec_id = s.vec_id AND (pos <= "from" + len OR k = 30) GROUP BY ALL),
-pd0 AS (SELECT p.vec_id AS seg_id, c.vec_id AS cline_id, pos, p.p.x AS px, p.p.y AS py, c.ax, c.ay, c.bx, c.byy, greatest(0.0, least(1.0, ((p.p.x - c.ax) * (c.bx - c.ax) + (p.p.y - c.ay) * (c.byy - c.ay)) / (c.len * c.len))) AS u FROM pts p, s c WHERE p.vec_id % 10 = 1 AND c.vec_id % 50 = 0),
+pd0 AS (SELECT p.vec_id AS seg_id, c.vec_id AS cline_id, pos, p.p.x AS px, p.p.y AS py, c.ax, c.ay, c.bx, c.byy, greatest(0.0, least(1.0, ((p.p.x - c.ax) * (c.bx - c.ax) + (p.p.y - c.ay) * (c.byy - c.ay)) / (c.len * c.len))) AS u FROM pts p, s c WHERE p.vec_id % 10 <> 0 AND c.vec_id % 10 = 0),
 pd AS (SELECT seg_id, cline_id, pos, min(sqrt((px - (ax + (bx - ax) * u)) ** 2 + (py - (ay + (byy - ay) * u)) ** 2)) AS d FROM pd0 GROUP BY ALL),
 dm AS (SELECT seg_id, cline_id, avg(d) AS d FROM pd GROUP BY ALL), brg AS (SELECT vec_id, CASE WHEN t < 0 THEN t + 360 ELSE t END AS b FROM (SELECT vec_id, degrees(atan2(max(x) FILTER (k = 31) - max(x) FILTER (k = 0), max(y) FILTER (k = 31) - max(y) FILTER (k = 0))) AS t FROM v GROUP BY 1)),
 sc AS (SELECT seg_id, cline_id, d, abs(((a.b - c.b + 180) % 360 + 360) % 360 - 180) AS ang FROM dm JOIN brg a ON seg_id = a.vec_id JOIN brg c ON cline_id = c.vec_id)"""
 
 
 def scored(spark, sf_dir):
-    """Candidate pairs with mean sampled distance and angle; boxes meet through tiles, the exact distance follows."""
+    """Candidate pairs (every tenth line is a corridor, the others are segments) with mean sampled distance and angle; boxes meet through tiles, the exact distance follows."""
     all_lines = lines(spark, sf_dir)
-    seg = all_lines.where("vec_id % 10 = 1").select(F.col("vec_id").alias("seg_id"), F.col("geom").alias("sg"))
-    cl = all_lines.where("vec_id % 50 = 0").select(F.col("vec_id").alias("cline_id"), F.col("geom").alias("cg"))
+    seg = all_lines.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("seg_id"), F.col("geom").alias("sg"))
+    cl = all_lines.where("vec_id % 10 = 0").select(F.col("vec_id").alias("cline_id"), F.col("geom").alias("cg"))
     pairs = S.tile_pairs(seg, cl, "seg_id", "cline_id", "sg", "cg", 600.0)
-    both = pairs.join(seg, "seg_id").join(cl.select("cline_id", "cg", G.measured(F.col("cg")).alias("cm")), "cline_id")
+    both = pairs.join(seg, "seg_id").join(stored(cl.select("cline_id", "cg", G.measured(F.col("cg")).alias("cm"))), "cline_id")
+    both = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seg_id", "cline_id")  # the distances are the work, not the rows
     d = G.sampled_distance(F.col("sg"), F.col("cm"), STEP)
     return both.select("seg_id", "cline_id", d.alias("d"), angle_difference(G.bearing(F.col("sg")), G.bearing(F.col("cg"))).alias("ang"))
 
@@ -217,7 +219,8 @@ def opposite_pairs(spark, sf_dir):
     return two.where(angle_difference(F.col("a.brg"), F.col("b.brg")) >= 160).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
 
 
-@query("hex_cells")
+@query("hex_cells", """WITH p AS (SELECT value * 100 AS x, CAST(json_extract_string(props, '$.k') AS DOUBLE) * 100 AS y FROM events), a AS (SELECT (x * (sqrt(3::DOUBLE) / 3) - y / 3) / 1861 AS q, y * (2::DOUBLE / 3) / 1861 AS r FROM p), c AS (SELECT q, r, round_even(q, 0) AS rq, round_even(r, 0) AS rr, round_even(-q - r, 0) AS rs FROM a),
+d AS (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs - (-q - r)) AS ds FROM c), h AS (SELECT CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS q, CASE WHEN dq > dr AND dq > ds THEN rr WHEN dr > ds THEN -rq - rs ELSE rr END AS r FROM d) SELECT 'hx_' || CAST(q AS BIGINT) || '_' || CAST(r AS BIGINT) AS grid_id, count(*) AS n FROM h GROUP BY 1""")
 def hex_cells(spark, sf_dir):
     """TS2: counts by hexagon of about the area of a square cell of 3000."""
     e = table(spark, sf_dir, "events").select((F.col("value") * 100).alias("x"), (F.get_json_object("props", "$.k").try_cast("double") * 100).alias("y"))

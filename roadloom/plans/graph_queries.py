@@ -10,9 +10,9 @@ from roadloom.operators import model as M
 from roadloom.operators import relational as R
 from roadloom.operators import spatial as S
 from roadloom.plans import query
-from roadloom.plans.geometry_queries import lines
+from roadloom.plans.geometry_queries import VERT, lines
 from roadloom.plans.od_queries import EDGES, OD, grid_edges, od_matrix
-from roadloom.plans.panel_queries import PANEL, asymmetry, panel, rounded
+from roadloom.plans.panel_queries import ASYM, PANEL, asymmetry, panel, rounded
 from roadloom.sources.store import stored
 from roadloom.sources.tables import table
 
@@ -53,11 +53,11 @@ def degree_histogram(spark, sf_dir):
     return G.degrees(grid_edges(spark, sf_dir), "grid_o", "grid_d").groupBy("degree").agg(F.count("*").alias("n"))
 
 
-@query("fastest_edges", "WITH e AS (SELECT l_suppkey % 20 AS u, l_partkey % 20 AS v, l_extendedprice / 100000 AS t FROM lineitem) SELECT u, v, round(min(t), 6) AS t FROM e WHERE u <> v AND t >= 0.02 GROUP BY ALL")
+@query("fastest_edges", "WITH e AS (SELECT l_suppkey % 20 AS u, l_partkey % 20 AS v, l_extendedprice / 100000 AS t FROM lineitem) SELECT u, v, round(min(t), 8) AS t FROM e WHERE u <> v AND t >= 0.02 GROUP BY ALL")
 def fastest_edges(spark, sf_dir):
     """R11."""
     e = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).alias("u"), (F.col("l_partkey") % 20).alias("v"), (F.col("l_extendedprice") / 100000).alias("t"))
-    return rounded(G.fastest_edges(e, "u", "v", "t"))
+    return rounded(G.fastest_edges(e, "u", "v", "t"), 8)
 
 
 def paths(spark, sf_dir):
@@ -330,13 +330,13 @@ def top_reversal_edges(spark, sf_dir):
     return e.orderBy(F.desc("score"), "grid_o", "grid_d").limit(10)
 
 
-@query("eps_clusters")
+@query("eps_clusters", f"WITH RECURSIVE {VERT}, p AS (SELECT vec_id, x, y FROM v WHERE k = 0), near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 15), reach AS (SELECT vec_id AS n, vec_id AS m FROM p UNION SELECT n, b FROM reach JOIN near ON m = a), c AS (SELECT n, min(m) AS component FROM reach GROUP BY 1) SELECT component, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM c JOIN p ON n = vec_id GROUP BY 1")
 def eps_clusters(spark, sf_dir):
     """Single-linkage clusters of first vertices at most 15 apart, and their centres."""
     p = lines(spark, sf_dir).select("vec_id", F.get("geom", F.lit(0)).alias("p")).select("vec_id", "p.x", "p.y")
     near = S.within_distance(p, p.withColumnRenamed("vec_id", "other"), "vec_id", "other", 15.0).where("vec_id < other")
     c = G.components(near, "vec_id", "other", p.select(F.col("vec_id").alias("node")))
-    return c.join(p, c.node == p.vec_id).groupBy("component").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return c.join(p, c.node == p.vec_id).groupBy("component").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
 
 
 @query("voronoi_assign")
@@ -348,16 +348,7 @@ def voronoi_assign(spark, sf_dir):
     return near.select("vec_id", "seed", "dist")
 
 
-@query("suspicious_nodes")
-def suspicious_nodes(spark, sf_dir):
-    """R14 on the proxy: nodes are tiles, roads labels, bearings those of the lines that end there."""
-    from roadloom.functions import geometry as Geo
-
-    ends = lines(spark, sf_dir).select(F.col("label").alias("road"), Geo.bearing(F.col("geom")).alias("bearing"), F.floor(F.get("geom", F.lit(0)).getField("x") / 20).alias("i"), F.floor(F.get("geom", F.lit(0)).getField("y") / 20).alias("j"))
-    return G.suspicious_nodes(ends.select(F.concat_ws("_", "i", "j").alias("node"), "road", "bearing"))
-
-
-@query("reversal_overlay")
+@query("reversal_overlay", f"WITH {ASYM} SELECT DISTINCT cline_id, peak, faster_dir AS dir FROM asym WHERE ratio < 0.8")
 def reversal_overlay(spark, sf_dir):
     """long form of the directions that an asymmetric corridor's peaks favour."""
     a = asymmetry(spark, sf_dir).where("ratio < 0.8")

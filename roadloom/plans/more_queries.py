@@ -88,21 +88,21 @@ def centroid_distance_time(spark, sf_dir):
     return near.select("seg_id", "cline_id", F.round("dist", 4).alias("dist"), F.round(60 * F.col("dist") / 1000 / 30, 6).alias("edge_tt_min"))
 
 
-@query("within_stats", "WITH v AS (SELECT vec_id, floor(embedding[2 * k + 1] * 1000.0::DOUBLE / 2000) AS i, floor(embedding[2 * k + 2] * 1000.0::DOUBLE / 2000) AS j FROM embeddings, LATERAL unnest(range(0, 4)) AS t(k)), c AS (SELECT vec_id, count(DISTINCT (i, j)) AS cells FROM v GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (cells = 1) AS within, round(count(*) FILTER (cells = 1) / count(*), 6) AS share FROM c")
+@query("within_stats", "WITH v AS (SELECT vec_id, floor(embedding[2 * k + 1] * 1000.0::DOUBLE / 800 + 0.5) AS i, floor(embedding[2 * k + 2] * 1000.0::DOUBLE / 800 + 0.5) AS j FROM embeddings, LATERAL unnest(range(0, 32)) AS t(k)), c AS (SELECT vec_id, count(DISTINCT (i, j)) AS cells FROM v GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (cells = 1) AS within, round(count(*) FILTER (cells = 1) / count(*), 6) AS share FROM c")
 def within_stats(spark, sf_dir):
-    """J12, J13, TS5: lines (their first four vertices) that lie in one cell of 2000."""
+    """J12, J13, TS5: lines all of whose vertices lie in one cell of 800."""
     from roadloom.plans.geometry_queries import lines
 
-    cell = lambda p: F.struct(F.floor(p.getField("x") / 2000), F.floor(p.getField("y") / 2000))
-    c = lines(spark, sf_dir).select(F.size(F.array_distinct(F.transform(F.slice("geom", 1, 4), cell))).alias("cells"))
+    cell = lambda p: F.struct(F.floor(p.getField("x") / 800 + 0.5), F.floor(p.getField("y") / 800 + 0.5))
+    c = lines(spark, sf_dir).select(F.size(F.array_distinct(F.transform("geom", cell))).alias("cells"))
     return c.agg(F.count("*").alias("n"), F.count_if(F.col("cells") == 1).alias("within"), F.round(F.count_if(F.col("cells") == 1) / F.count("*"), 6).alias("share"))
 
 
-@query("augmented_costs", f"WITH RECURSIVE {PATHS} SELECT o + 1000 AS grid_o, d + 1000 AS grid_d, round(t + 1.0, 6) AS t_min FROM best WHERE o <> d AND o < 8 AND d < 8")
+@query("augmented_costs", f"WITH RECURSIVE {PATHS} SELECT o + 1000 AS grid_o, d + 1000 AS grid_d, round(t + 1.0, 6) AS t_min FROM best WHERE o <> d")
 def augmented_costs(spark, sf_dir):
     """Grid to grid through connectors of half a minute that lead both ways between a cell (1000 + node) and its node."""
     e = grid_edges(spark, sf_dir)
-    node = table(spark, sf_dir, "nation").where("n_nationkey < 8").select(F.col("n_nationkey").cast("long").alias("k"))
+    node = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     up = node.select((F.col("k") + 1000).alias("grid_o"), F.col("k").alias("grid_d"), F.lit(0.5).alias("t_min"))
     down = node.select("k", (F.col("k") + 1000).alias("c"), F.lit(0.5).alias("t_min")).toDF("grid_o", "grid_d", "t_min")
     p = G.shortest_paths(e.unionByName(up).unionByName(down), "grid_o", "grid_d", "t_min")

@@ -62,7 +62,7 @@ def mode_share(spark, sf_dir):
     return long.withColumn("share", F.round(F.col("pop") / F.sum("pop").over(Window.partitionBy()), 6))
 
 
-@query("residents_jobs", f"WITH {OD}, r AS (SELECT home_grid AS grid_id, sum(pop) AS residents FROM od GROUP BY 1), j AS (SELECT work_grid AS grid_id, sum(pop) AS jobs FROM od GROUP BY 1) SELECT grid_id, residents, jobs, round(jobs / residents, 6) AS job_resident_ratio FROM r FULL JOIN j USING (grid_id)")
+@query("residents_jobs", f"WITH {OD}, r AS (SELECT home_grid AS grid_id, sum(pop) AS residents FROM od GROUP BY 1), j AS (SELECT work_grid AS grid_id, sum(pop) AS jobs FROM od GROUP BY 1) SELECT grid_id, coalesce(residents, 0) AS residents, coalesce(jobs, 0) AS jobs, round(coalesce(jobs, 0) / residents, 6) AS job_resident_ratio FROM r FULL JOIN j USING (grid_id)")
 def residents_jobs(spark, sf_dir):
     return rounded(R.home_work_marginals(od_matrix(spark, sf_dir), "home_grid", "work_grid", "pop"))
 
@@ -200,17 +200,22 @@ def match_by_dir_nullkeys(spark, sf_dir):
     return rounded(R.shares(matches(spark, sf_dir).select(F.when(F.col("method") != "unmatched", F.col("dir")).alias("dir")), ["dir"]))
 
 
-COVER = MATCH + """, hit AS (SELECT cline_id, dir, sum(least(span, 40)) AS span, count(*) AS n_splits FROM m WHERE method <> 'unmatched' AND l_orderkey % 50 = cline_id % 7 GROUP BY ALL),
-lines AS (SELECT cline_id, dir, 100.0::DOUBLE + cline_id AS len FROM (SELECT DISTINCT l_partkey % 100 AS cline_id FROM lineitem), (VALUES ('AB'), ('BA')) AS t(dir)),
+COVER = MATCH + """, hit AS (SELECT cline_id, dir, sum(span) AS span, count(*) AS n_splits FROM m WHERE method <> 'unmatched' GROUP BY ALL), usual AS (SELECT sum(span) / count(*) AS len FROM hit),
+lines AS (SELECT cline_id, dir, (0.4::DOUBLE + cline_id % 11 / 8) * usual.len AS len FROM (SELECT DISTINCT l_partkey % 100 AS cline_id FROM lineitem), (VALUES ('AB'), ('BA')) AS t(dir), usual),
 cov AS (SELECT cline_id, dir, len, coalesce(span, 0) AS span, coalesce(n_splits, 0) AS n_splits, coalesce(span, 0) / len AS cov FROM lines LEFT JOIN hit USING (cline_id, dir))"""
 
 
 def coverage(spark, sf_dir):
-    """Matched spans by directed corridor against its length; corridors without a match stay with 0."""
+    """Matched spans by directed corridor against its length; corridors without a match stay with 0.
+
+    A corridor's length is a share, 0.4 to 1.65, of what is matched on the average.
+    """
     m = matches(spark, sf_dir)
-    hit = m.where((F.col("method") != "unmatched") & (F.col("l_orderkey") % 50 == F.col("cline_id") % 7)).groupBy("cline_id", "dir").agg(F.sum(F.least("span", F.lit(40.0))).alias("span"), F.count("*").alias("n_splits"))
-    lines = m.select("cline_id").distinct().select("cline_id", F.explode(F.array(F.lit("AB"), F.lit("BA"))).alias("dir")).withColumn("len", 100.0 + F.col("cline_id"))
-    out = lines.join(hit, ["cline_id", "dir"], "left").fillna(0.0, ["span"]).fillna(0, ["n_splits"])
+    hit = m.where("method <> 'unmatched'").groupBy("cline_id", "dir").agg(F.sum("span").alias("span"), F.count("*").alias("n_splits"))
+    usual = hit.agg((F.sum("span") / F.count("*")).alias("_usual"))
+    lines = m.select("cline_id").distinct().select("cline_id", F.explode(F.array(F.lit("AB"), F.lit("BA"))).alias("dir"))
+    sized = lines.join(F.broadcast(usual)).select("cline_id", "dir", ((0.4 + F.col("cline_id") % 11 / 8) * F.col("_usual")).alias("len"))  # one row of means
+    out = sized.join(hit, ["cline_id", "dir"], "left").fillna(0.0, ["span"]).fillna(0, ["n_splits"])
     return out.withColumn("cov", F.col("span") / F.col("len"))
 
 
@@ -232,17 +237,17 @@ def coverage_buckets(spark, sf_dir):
     return coverage(spark, sf_dir).where("n_splits > 0").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("coverage_4class", f"WITH {COVER}, p AS (SELECT cline_id, max((n_splits > 4)::INT) FILTER (dir = 'AB') AS ab, max((n_splits > 4)::INT) FILTER (dir = 'BA') AS ba FROM cov GROUP BY 1) SELECT CASE WHEN ab = 1 AND ba = 1 THEN 'both_AB_BA' WHEN ab = 1 THEN 'AB_only' WHEN ba = 1 THEN 'BA_only' ELSE 'none' END AS status, count(*) AS n FROM p GROUP BY 1")
+@query("coverage_4class", f"WITH {COVER}, p AS (SELECT cline_id, max((cov >= 0.9)::INT) FILTER (dir = 'AB') AS ab, max((cov >= 0.9)::INT) FILTER (dir = 'BA') AS ba FROM cov GROUP BY 1) SELECT CASE WHEN ab = 1 AND ba = 1 THEN 'both_AB_BA' WHEN ab = 1 THEN 'AB_only' WHEN ba = 1 THEN 'BA_only' ELSE 'none' END AS status, count(*) AS n FROM p GROUP BY 1")
 def coverage_4class(spark, sf_dir):
     """A14, A31."""
-    two = coverage(spark, sf_dir).withColumn("hit", (F.col("n_splits") > 4).cast("int")).groupBy("cline_id").pivot("dir", ["AB", "BA"]).agg(F.max("hit")).fillna(0)
+    two = coverage(spark, sf_dir).withColumn("hit", (F.col("cov") >= 0.9).cast("int")).groupBy("cline_id").pivot("dir", ["AB", "BA"]).agg(F.max("hit")).fillna(0)
     a, b = F.col("AB") == 1, F.col("BA") == 1
     return two.groupBy(F.when(a & b, "both_AB_BA").when(a, "AB_only").when(b, "BA_only").otherwise("none").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("n_splits_hist", f"WITH {COVER} SELECT least(n_splits, 20) AS n_splits, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM cov WHERE n_splits > 0 GROUP BY 1")
+@query("n_splits_hist", f"WITH {COVER} SELECT n_splits, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM cov WHERE n_splits > 0 GROUP BY 1")
 def n_splits_hist(spark, sf_dir):
-    return rounded(R.shares(coverage(spark, sf_dir).where("n_splits > 0").select(F.least("n_splits", F.lit(20).cast("long")).alias("n_splits")), ["n_splits"]))
+    return rounded(R.shares(coverage(spark, sf_dir).where("n_splits > 0").select("n_splits"), ["n_splits"]))
 
 
 @query("hist_10", f"WITH {PANEL}, b AS (SELECT min(cl_speed_kmh) AS lo, max(cl_speed_kmh) AS hi FROM panel) SELECT CAST(least(floor((cl_speed_kmh - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS n, round(lo + bin * ((hi - lo) / 10), 6) AS left_edge FROM panel, b GROUP BY ALL")
