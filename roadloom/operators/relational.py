@@ -87,3 +87,21 @@ def home_work_marginals(od: DataFrame, home: str, work: str, pop: str) -> DataFr
     jobs = od.groupBy(F.col(work).alias("grid_id")).agg(F.sum(pop).alias("jobs"))
     both = res.join(jobs, "grid_id", "full_outer").fillna(0.0, ["residents", "jobs"])
     return both.withColumn("job_resident_ratio", F.when(F.col("residents") > 0, F.col("jobs") / F.col("residents")))
+
+
+def suffixed_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join in which columns of both sides, but for the key, are called `_x` on the left and `_y` on the right."""
+    both = [c for c in left.columns if c in right.columns and c != key]
+    return left.withColumnsRenamed({c: f"{c}_x" for c in both}).join(right.withColumnsRenamed({c: f"{c}_y" for c in both}), key, how)
+
+
+def harmonised(df: DataFrame) -> DataFrame:
+    """Columns `c_x` and `c_y` as one `c`, the left value first."""
+    stems = [c[:-2] for c in df.columns if c.endswith("_x") and f"{c[:-2]}_y" in df.columns]
+    gone = {f"{c}_{k}" for c in stems for k in "xy"}
+    return df.select(*[c for c in df.columns if c not in gone], *[F.coalesce(f"{c}_x", f"{c}_y").alias(c) for c in stems])
+
+
+def number_list(text: Column) -> Column:
+    """The numbers of a text, parted by commas."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
