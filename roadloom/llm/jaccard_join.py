@@ -41,7 +41,7 @@ from roadloom.llm.word_hash import mix, set_chunks, shingle_sets
 
 _U = np.uint64
 ORDERS = 2
-ROUNDS, PARTNERS = 2, 3
+ROUNDS, PARTNERS = 2, 1
 BITS = 2048
 #: Counters of the sketch, as a power of two, one byte each: a fixed size, whatever the input.
 MOST_COUNTERS = 25
@@ -49,6 +49,8 @@ MOST_COUNTERS = 25
 COMMON = 7
 #: Entries of a list that are compared with each other at a time; longer lists are cut in blocks, and pairs of blocks dealt out.
 BLOCK = 2048
+#: Postings that a task packs at a time, and pairs (of 16 bytes) up to which they are broadcast.
+PACKED, FEW = 1 << 20, 250_000
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -164,8 +166,29 @@ def posting_lists(docs: DataFrame, width: int, percent: int, levels: np.ndarray,
     names = balanced_labels(docs.sparkSession, ORDERS * buckets)
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # its size is fixed by `bits`
 
+    def packed_rows(held: list[tuple]) -> pa.RecordBatch:
+        press, out = zstandard.ZstdCompressor(level=1), []
+        nodes, counts = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        length = np.concatenate([h[2] for h in held])
+        of = np.repeat(np.arange(len(nodes)), length)
+        place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        for k in range(ORDERS):
+            token = mix(np.concatenate([h[3 + k] for h in held]), 80 + k)
+            bucket = ((token >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            order = np.lexsort((of, bucket))
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                part = order[cuts[i] : cuts[i + 1]]
+                used, local = np.unique(of[part], return_inverse=True)
+                narrow = [x.astype(np.uint16 if x.max() < 65536 else np.uint32) for x in (local, place[part])]
+                blob = b"".join((token[part].tobytes(), *[x.tobytes() for x in narrow], nodes[used].tobytes(), counts[used].astype(np.uint32).tobytes()))
+                out.append((names[k * buckets + i], k, len(part), len(used), narrow[1].itemsize, press.compress(blob)))
+        cols = list(zip(*out, strict=True))
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "order", "n", "used", "wide", "packed"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, press = shared.value, zstandard.ZstdCompressor(level=1)
+        level, held, size = shared.value, [], 0
         for b in batches:
             for _, flat, counts in set_chunks(b.column(0).to_pylist(), width):
                 nodes, ends = signatures(flat, counts)[0], np.cumsum(counts)
@@ -176,43 +199,39 @@ def posting_lists(docs: DataFrame, width: int, percent: int, levels: np.ndarray,
                 if not len(once):
                     continue
                 length = np.array([prefix_length(n, percent) for n in counts[once].tolist()])
-                of = np.repeat(np.arange(len(once), dtype=np.uint32), length)
-                place = (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)).astype(np.uint32)
-                out = []
-                for k, by in enumerate(orders):
-                    keys = []
+                keys = []
+                for by in orders:
+                    own = []
                     for i, p in zip(once.tolist(), length.tolist(), strict=True):
                         lo, hi = ends[i] - counts[i], ends[i]
-                        own = by[lo:hi]
+                        here = by[lo:hi]
                         if p < hi - lo:
-                            first = np.argpartition(own, p - 1)[:p]
-                            first = first[np.argsort(own[first])]
+                            first = np.argpartition(here, p - 1)[:p]
+                            first = first[np.argsort(here[first])]
                         else:
-                            first = np.argsort(own)
-                        keys.append(flat[lo + first])
-                    token = mix(np.concatenate(keys), 80 + k)
-                    bucket = ((token >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-                    order = np.lexsort((token, bucket))
-                    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                    for i in np.flatnonzero(np.diff(cuts)).tolist():
-                        part = order[cuts[i] : cuts[i + 1]]
-                        used, local = np.unique(of[part], return_inverse=True)
-                        blob = b"".join((token[part].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), place[part].tobytes(), nodes[once[used]].tobytes(), counts[once[used]].astype(np.uint32).tobytes()))
-                        out.append((names[k * buckets + i], k, len(part), len(used), press.compress(blob)))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], names=["bucket", "order", "n", "used", "packed"])
+                            first = np.argsort(here)
+                        own.append(flat[lo + first])
+                    keys.append(np.concatenate(own))
+                held.append((nodes[once], counts[once], length, *keys))
+                size += len(keys[0])
+                if size >= PACKED:
+                    yield packed_rows(held)
+                    held, size = [], 0
+        if held:
+            yield packed_rows(held)
 
     def lists(key: tuple, table: pa.Table) -> pa.Table:
         un, tokens, nodes, sizes, places = zstandard.ZstdDecompressor(), [], [], [], []
-        for n, used, packed in zip(table.column("n").to_pylist(), table.column("used").to_pylist(), table.column("packed").to_pylist(), strict=True):
+        for n, used, wide, packed in zip(*[table.column(c).to_pylist() for c in ("n", "used", "wide", "packed")], strict=True):
             raw = un.decompress(packed)
-            kind = np.dtype(np.uint16 if used < 65536 else np.uint32)
+            kind = np.dtype(np.uint16 if used <= 65536 else np.uint32)
             local = np.frombuffer(raw, kind, n, 8 * n).astype(np.int64)
             at = (8 + kind.itemsize) * n
             tokens.append(np.frombuffer(raw, _U, n))
-            places.append(np.frombuffer(raw, np.uint32, n, at))
-            nodes.append(np.frombuffer(raw, _U, used, at + 4 * n)[local])
-            sizes.append(np.frombuffer(raw, np.uint32, used, at + 4 * n + 8 * used)[local])
+            places.append(np.frombuffer(raw, np.uint16 if wide == 2 else np.uint32, n, at).astype(np.uint32))
+            at += wide * n
+            nodes.append(np.frombuffer(raw, _U, used, at)[local])
+            sizes.append(np.frombuffer(raw, np.uint32, used, at + 8 * used)[local])
         token, node, size, place = map(np.concatenate, (tokens, nodes, sizes, places))
         order = np.lexsort((node, token))
         token, node = token[order], node[order]
@@ -232,7 +251,7 @@ def posting_lists(docs: DataFrame, width: int, percent: int, levels: np.ndarray,
         m, k = len(token), table.column("order")[0].as_py()
         return pa.table({"order": pa.array(np.full(m, k, np.int32)), "token": _signed(token), "node": _signed(node), "n": pa.array(size), "most": pa.array(most)})
 
-    packed = docs.select("text").mapInArrow(pack, "bucket int, order int, n long, used long, packed binary")
+    packed = docs.select("text").mapInArrow(pack, "bucket int, order int, n long, used long, wide int, packed binary")
     return packed.groupBy("bucket").applyInArrow(lists, "order int, token long, node long, n long, most long")
 
 
@@ -386,8 +405,11 @@ def verified(pairs: DataFrame, items: DataFrame, classes: DataFrame, percent: in
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(0).filter(mask), t.column(1).filter(mask)], names=["a", "b"])
 
-    one = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("_x")), "a")
-    two = one.join(items.select(F.col("node").alias("b"), F.col("items").alias("_y")), "b")
+    # few pairs go to the sets, which stay where they are; with many, sets and pairs meet by shuffles
+    sent = F.broadcast if pairs.count() <= FEW else lambda x: x
+    ours = items.join(sent(pairs.select(F.col("b").alias("node")).distinct()), "node", "left_semi")
+    one = items.select(F.col("node").alias("a"), F.col("items").alias("_x")).join(sent(pairs), "a")
+    two = one.join(ours.select(F.col("node").alias("b"), F.col("items").alias("_y")), "b")
     return written(two.select("a", "b", "_x", "_y").mapInArrow(compare, "a long, b long"), "verified")
 
 
