@@ -49,7 +49,7 @@ MOST_COUNTERS = 25
 COMMON = 7
 #: Entries of a list that are compared with each other at a time; longer lists are cut in blocks, and pairs of blocks dealt out.
 BLOCK = 2048
-#: Postings that a task packs at a time, and pairs (of 16 bytes) up to which they are broadcast.
+#: Postings that a task packs at a time, and rows of two ids (16 bytes) up to which they are broadcast.
 PACKED, FEW = 1 << 20, 250_000
 
 
@@ -371,7 +371,7 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def listed_sets(lists: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(node, items) of all classes that have a posting in `lists`; their texts are read once."""
+    """(node, items) of all classes that have a posting in `lists`, once for each row of a repeated one; their texts are read once."""
     nodes = lists.select(F.col("node").alias("s1")).distinct()
     named = written(nodes.join(classes.select("s1", F.col("rep").alias("doc_id")), "s1"), "named")
 
@@ -384,8 +384,10 @@ def listed_sets(lists: DataFrame, docs: DataFrame, classes: DataFrame, width: in
                 items = [x.tobytes() for x, y in zip(np.split(flat, np.cumsum(counts)[:-1]), ok, strict=True) if y]
                 yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(items, pa.binary())], names=["node", "items"])
 
-    texts = docs.select("doc_id", "text").join(named, "doc_id").select("text", "s1")
-    return written(texts.mapInArrow(sets, "node long, items binary").dropDuplicates(["node"]), "sets")
+    # a row has 16 bytes; with more of them texts and names meet by a shuffle
+    sent = F.broadcast(named) if named.count() <= FEW else named
+    texts = docs.select("doc_id", "text").join(sent, "doc_id").select("text", "s1")
+    return written(texts.mapInArrow(sets, "node long, items binary"), "sets")
 
 
 def verified(pairs: DataFrame, items: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
