@@ -9,7 +9,9 @@ EARTH_R = 6378137.0
 
 # Compass phrases, in the order in which a phrase is searched for them, with degrees.
 COMPASS = [("北", 0.0), ("东北", 45.0), ("东", 90.0), ("东南", 135.0), ("南", 180.0), ("西南", 225.0), ("西", 270.0), ("西北", 315.0)]
-DIRECTION_PATTERN = r"(?:由)?\s*([东南西北]{1,2})\s*向\s*([东南西北]{1,2})"
+#: `X向Y`: compass letters on both sides; the second side, two letters at most, is the heading.
+_LETTERS = "".join(word for word, _ in COMPASS if len(word) == 1)
+DIRECTION_PATTERN = rf"[{_LETTERS}]\s*向\s*([{_LETTERS}]{{1,2}})"
 
 
 def number(x: Column | str) -> Column:
@@ -89,7 +91,7 @@ def direction_degrees(text: Column) -> Column:
     the phrase contains does.
     """
     phrase = F.trim(F.element_at(F.split(text, "[,，]"), -1))
-    to = F.regexp_extract(phrase, DIRECTION_PATTERN, 2)
+    to = F.regexp_extract(phrase, DIRECTION_PATTERN, 1)
     exact = fallback = F.lit(None).cast("double")
     for word, degrees in reversed(COMPASS):
         exact = F.when(to == word, degrees).otherwise(exact)

@@ -71,7 +71,9 @@ def population(nodes: DataFrame, costs: DataFrame, theta: float, rounds: int, al
         left = state.select(F.col("node").alias("o"), (F.col("u") * F.pow(F.greatest("residents", F.lit(EPS)), F.lit(theta * beta))).alias("_l"))
         right = state.select(F.col("node").alias("d"), (F.col("a") * F.pow(F.greatest("jobs", F.lit(EPS)), F.lit(theta * alpha))).alias("_r"))
         mass = k.join(left, "o").join(right, "d").select("o", "d", (F.col("k") * F.col("_l") * F.col("_r")).alias("m"))
-        share = stored(mass.select("o", "d", (F.col("m") / F.sum("m").over(Window.partitionBy())).alias("share"), F.sum("m").over(Window.partitionBy()).alias("total")))
+        mass = stored(mass)
+        total = mass.agg(F.sum("m").alias("total"))  # one row
+        share = stored(mass.join(F.broadcast(total)).select("o", "d", (F.col("m") / F.col("total")).alias("share"), "total"))
         res = share.groupBy(F.col("o").alias("node")).agg(F.sum("share").alias("_res"))
         job = share.groupBy(F.col("d").alias("node")).agg(F.sum("share").alias("_job"))
         mix = lambda new, old: (1 - damping) * F.col(old) + damping * F.coalesce(new, F.lit(0.0))
