@@ -181,9 +181,12 @@ def pair_batches(docs: DataFrame, slices: int, ranges: int, labels: list[int]) -
         words, code = np.unique(np.concatenate([t, h]), return_inverse=True)
         w_code, h_code = code[: len(t)].astype(_U), code[len(t) :].astype(_U)
         toks.clear()
-        key, times = np.unique(doc.astype(_U) << _U(46) | w_code << _U(23) | h_code, return_counts=True)  # once a document
-        del t, h, doc, code, w_code, h_code  # what is held at once is a few times BATCH_TOKENS numbers
-        d, wc, hc = (key >> _U(46)).astype(np.int64), (key >> _U(23) & _U((1 << 23) - 1)).astype(np.int64), (key & _U((1 << 23) - 1)).astype(np.int64)
+        # a pair's number, then the document's with it: neither has to fit a fixed number of bits
+        pair, p_code = np.unique(w_code * _U(len(words)) + h_code, return_inverse=True)
+        key, times = np.unique(doc.astype(_U) * _U(len(pair)) + p_code.astype(_U), return_counts=True)  # once a document
+        del t, h, doc, code, w_code, h_code, p_code  # what is held at once is a few times BATCH_TOKENS numbers
+        d, of = (key // _U(len(pair))).astype(np.int64), (key % _U(len(pair))).astype(np.int64)
+        wc, hc = (pair // _U(len(words))).astype(np.int64)[of], (pair % _U(len(words))).astype(np.int64)[of]
         cell = slice_of(words, slices)[wc] * ranges + slice_of(mix(words, 7), ranges)[hc]
         order = np.argsort(cell, kind="stable")
         cuts = np.searchsorted(cell[order], np.arange(slices * ranges + 1))

@@ -67,6 +67,14 @@ def bloom_blocks(listed: DataFrame, n_blocks: int, url: str = "canonical") -> Da
     return listed.select(F.pmod(h, F.lit(n_blocks)).alias("block"), *[m.alias(f"_m{i}") for i, m in enumerate(masks)]).groupBy("block").agg(*words)
 
 
+def passing(masks: list[Column]) -> Column:
+    """Whether all bits of the masks are set in a block's words w0 ... w7; a block that is not there has none."""
+    out = F.lit(True)
+    for i, m in enumerate(masks):
+        out = out & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(m) != 0)
+    return out
+
+
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", bits_per_url: int = 16) -> DataFrame:
     """key, host, path, rule, verdict, listed of every row of `pages`.
 
@@ -84,10 +92,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     seen = pages.select(key, host.alias("host"), path.alias("path"), canonical(F.col(url)).alias("canonical")).select("*", rule.alias("rule"), verdict.alias("_rule_verdict"))
     h, masks = _bits(F.col("canonical"))
     # the planner broadcasts both tables while their written size is under its limit, and shuffles beyond it
-    probed = seen.withColumn("block", F.pmod(h, F.lit(n_blocks))).join(blocks, "block", "left")
-    passes = F.lit(True)
-    for i, m in enumerate(masks):
-        passes = passes & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(m) != 0)
+    # URLs without a canonical form are many and alike: each gets a block that the filter does not have
+    block = F.when(F.col("canonical") == "", -1 - F.pmod(F.xxhash64(key), F.lit(1 << 30))).otherwise(F.pmod(h, F.lit(n_blocks)))
+    probed = seen.withColumn("block", block).join(blocks, "block", "left")
+    passes = passing(masks)
     hit = known.withColumnRenamed("canonical", "_known")
     # what the filter stops gets a key of its own, so that a shuffled join deals it evenly and it meets nothing
     own = F.when(passes, F.col("canonical")).otherwise(F.concat(F.lit("\n"), F.xxhash64(key, "canonical").cast("string")))

@@ -1,17 +1,17 @@
 """Operators 3 to 6 against brute force: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
-import hashlib
 import random
 import re
 import tracemalloc
 
 import numpy as np
 import regex
+from pyspark.sql import functions as F
 
 from roadloom.llm.chat_windows import chat_windows, read_back
 from roadloom.llm.multi_pattern import Searchers, WuManber, mark_benchmark_words, words_of
 from roadloom.llm.quality_rules import judge_quality, with_base_counts
-from roadloom.llm.url_filter import judge_urls
+from roadloom.llm.url_filter import _bits, bloom_blocks, canonical, judge_urls, passing
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -119,8 +119,6 @@ def test_rules_adapt_by_group_and_keep_clean_text(spark):
 
 
 def docs_true():
-    from pyspark.sql import functions as F
-
     return F.lit(True)
 
 
@@ -195,4 +193,11 @@ def test_filter_passes_every_listed_url_and_few_others(spark):
     pages = spark.range(4000).selectExpr("id AS page_id", "concat('https://h.org/', id, '/') AS url")
     got = judge_urls(pages, listed, []).toPandas()
     assert (got["listed"] == (got["page_id"] < 2000)).all()
-    assert hashlib.sha256(b"").hexdigest()
+    known = listed.select(canonical(F.col("url")).alias("canonical"))
+    n_blocks = 2000 * 16 // 512
+    h, masks = _bits(F.col("canonical"))
+    blocks = bloom_blocks(known, n_blocks)
+    assert blocks.count() <= n_blocks
+    seen = pages.select("page_id", canonical(F.col("url")).alias("canonical")).withColumn("block", F.pmod(h, F.lit(n_blocks)))
+    passed = {r.page_id for r in seen.join(blocks, "block", "left").where(passing(masks)).collect()}
+    assert passed >= set(range(2000)) and len(passed) < 2000 + 40
