@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roadloom.llm import op3_query, op4_query, op6_query
+from roadloom.llm import op3_query, op4_query, op6_query, op9_query
 from roadloom.llm.op1_query import op1_hash_tree
 from roadloom.llm.op10_query import op10_compact_windows
 from roadloom.llm.op2_query import op2_bit_planes
@@ -20,4 +20,5 @@ ORACLES: dict[str, str] = {
     "op3_wu_manber": op3_query.ORACLE,
     "op4_adaptive_quality": op4_query.ORACLE,
     "op6_bloom_urls": op6_query.ORACLE,
+    "op9_jaccard_join": op9_query.ORACLE,
 }
