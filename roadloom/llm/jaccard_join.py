@@ -50,7 +50,7 @@ COMMON = 7
 #: Entries of a list that are compared with each other at a time; longer lists are cut in blocks, and pairs of blocks dealt out.
 BLOCK = 2048
 #: Postings that a task packs at a time, and rows of two ids (16 bytes) up to which they are broadcast.
-PACKED, FEW = 1 << 20, 250_000
+PACKED, FEW = 1 << 18, 250_000
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -302,7 +302,7 @@ def candidates_between(mixed: DataFrame, percent: int, block: int = BLOCK) -> Da
     and each pair of blocks is dealt out by itself.
     """
     spark = mixed.sparkSession
-    names = balanced_labels(spark, 2 * partitions(spark))
+    names = balanced_labels(spark, 6 * partitions(spark))
     slot = lambda *c: F.element_at(F.array(*[F.lit(x) for x in names]), F.pmod(F.xxhash64(*c), F.lit(len(names))).cast("int") + 1)
 
     def tell(key: tuple, table: pa.Table) -> pa.Table:
@@ -397,8 +397,8 @@ def verified(pairs: DataFrame, items: DataFrame, classes: DataFrame, percent: in
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             ok = []
-            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+            for i in range(t.num_rows):  # views of the batch, not copies
+                x, y = (np.frombuffer(t.column(k)[i].as_buffer(), _U) for k in (2, 3))
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
