@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch on its way to a Python worker; a single row may take more.
+BATCH = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,10 +35,25 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
+    """Within it, jobs send Python workers Arrow batches of `size` bytes at most, so rows of long texts or sets do not add up; the session's setting is back after it."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` as a table written to the shared folder and read again: it cuts lineage and survives lost executors."""
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

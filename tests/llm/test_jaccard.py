@@ -3,6 +3,9 @@
 import random
 import re
 
+import pyarrow as pa
+
+from roadloom.llm.common import written
 from roadloom.llm.components import components
 from roadloom.llm.jaccard_join import bound, prefix_length, similar_groups
 from roadloom.llm.word_hash import word_hashes
@@ -103,3 +106,17 @@ def test_bounds_lose_no_similar_pair():
         at = y.index(x[first])
         assert first < prefix_length(n, 80) and at < prefix_length(m, 80)
         assert m <= bound(n, first, 80) and n <= bound(m, at, 80)
+
+
+def test_batches_are_small_only_while_a_table_is_written(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(0, 400, 1, 1).selectExpr("repeat('x', 100000) AS text").mapInArrow(sizes, "n long")
+    found = [r["n"] for r in written(rows, "sizes").collect()]
+    assert sum(found) == 400 and max(found) < 100
+    assert spark.conf.get(setting) == before
