@@ -17,10 +17,10 @@ def speed_stream(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def harmonic_speeds(events: DataFrame, road: str, speed: str, ts: str) -> DataFrame:
-    """ST01: n and harmonic speed of each road, for all times, peaks and free flow; state is a few sums a road."""
+    """ST01: n and harmonic speed of each road with a positive speed, for all times, peaks and free flow; state is a few sums a road."""
     v, h = F.col(speed), F.hour(ts)
     of = lambda ok: harmonic(F.when(ok, v))
-    return events.groupBy(F.col(road).alias("roadseg_id")).agg(F.count_if(v > 0).alias("n"), of(F.lit(True)).alias("speed_all"), of(is_am(h)).alias("speed_am"), of(is_pm(h)).alias("speed_pm"), of(is_freeflow(h)).alias("speed_ff"))
+    return events.where(v > 0).groupBy(F.col(road).alias("roadseg_id")).agg(F.count("*").alias("n"), of(F.lit(True)).alias("speed_all"), of(is_am(h)).alias("speed_am"), of(is_pm(h)).alias("speed_pm"), of(is_freeflow(h)).alias("speed_ff"))
 
 
 def first_seen(events: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
@@ -29,8 +29,9 @@ def first_seen(events: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
 
 
 def hourly_speeds(events: DataFrame, road: str, speed: str, ts: str, delay: str = "1 hour") -> DataFrame:
-    """ST03: harmonic speed by road and hour; late rows count until the watermark passes their hour."""
-    return events.withWatermark(ts, delay).groupBy(F.window(ts, "1 hour"), F.col(road).alias("roadseg_id")).agg(F.count_if(F.col(speed) > 0).alias("n"), harmonic(F.col(speed)).alias("speed"))
+    """ST03: harmonic speed by road and hour with a positive speed; late rows count until the watermark passes their hour."""
+    # filtered after the watermark, so rows without a speed still move it on
+    return events.withWatermark(ts, delay).where(F.col(speed) > 0).groupBy(F.window(ts, "1 hour"), F.col(road).alias("roadseg_id")).agg(F.count("*").alias("n"), harmonic(F.col(speed)).alias("speed"))
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
