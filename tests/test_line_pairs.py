@@ -69,3 +69,7 @@ def test_projections_of_uneven_lines_are_those_of_the_expression(spark, lines):
         assert all(abs(x[c] - r.m[c]) < 1e-6 for c in ("length", "area", "apl", "d_mean", "d_max", "s_from", "s_to"))
         close = 120 if r.m.length > 1000 else 60
         assert abs(x.share - sum(d <= close for d in r.m.dists) / len(r.m.dists)) < 1e-9
+
+
+def test_projection_match_counts_corridors_that_are_far_apart(spark, tmp_path):
+    held_against_sql(spark, tmp_path, "projection_match")
