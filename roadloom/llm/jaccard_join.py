@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadloom.llm.common import balanced_labels, partitions, small_batches, written
+from roadloom.llm.common import balanced_labels, freed_shuffles, partitions, small_batches, written
 from roadloom.llm.components import components
 from roadloom.llm.word_hash import mix, set_chunks, shingle_sets
 
@@ -129,7 +129,7 @@ def count_sketch(docs: DataFrame, width: int, bits: int) -> np.ndarray:
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([zstandard.ZstdCompressor().compress(level.tobytes())], pa.binary())})
 
     summed = docs.select("text").mapInArrow(partial, "slice int, at binary, n binary").groupBy("slice").applyInArrow(total, "slice int, level binary")
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), freed_shuffles(docs.sparkSession):
         rows = summed.collect()
     levels, un = np.zeros((slices, each), np.uint8), zstandard.ZstdDecompressor()
     for r in rows:
