@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +37,25 @@ def hourly_speeds(events: DataFrame, road: str, speed: str, ts: str, delay: str
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run what has arrived so far to its end and return the result table; progress is kept in the shared folder."""
-    spark = stream.sparkSession
-    import uuid
+    """Run what has arrived so far to its end and return the result table, which executors write to the shared folder as they do progress.
 
-    tag = f"{name}_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(tag).outputMode(mode).option("checkpointLocation", f"{shared_dir(spark)}/stream-{tag}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(tag)
+    In complete mode each batch writes the whole result anew and the last one
+    counts; in append mode it is the rows of all batches. A batch that is run
+    again replaces what it has written.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{name}_{uuid.uuid4().hex}"
+    done = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/batch-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        if mode == "complete":
+            done.clear()
+        if path not in done:
+            done.append(path)
+
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    found = spark.read.schema(stream.schema)
+    return found.parquet(*done) if done else spark.createDataFrame([], stream.schema)
